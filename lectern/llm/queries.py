@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.llm.mixing import Mixture
 from lectern.llm.neighbours import NeighbourIndex, sign_vectors
+from lectern.llm.packing import fill_report, pack_texts
+from lectern.llm.sentences import sentence_ends_table, sentences
+from lectern.llm.splitting import split_items
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -32,3 +36,66 @@ def p1_topk(spark, sf):
 def p1_bits_topk(spark, sf):
     index = NeighbourIndex(table(spark, sf, "vec_documents_bin"), "vec_rowid", "embedding", decode=sign_vectors)
     return index.topk().withColumnRenamed("id", "vec_rowid")
+
+
+@_query
+def p4_found(spark, sf):
+    return split_items(table(spark, sf, "documents"), "doc_id", "content").where("chunk_index = 0").select("doc_id", "cut_level")
+
+
+@_query
+def p4_pieces(spark, sf):
+    return split_items(table(spark, sf, "documents"), "doc_id", "content")
+
+
+@_query
+def p6_found(spark, sf):
+    packed = pack_texts(table(spark, sf, "documents"))
+    return packed.where("n_pieces > 1 and piece_no = 0").select("doc_id")
+
+
+ORACLE["p6_found"] = "SELECT doc_id FROM documents WHERE strlen(text) > 4096"
+
+
+@_query
+def p6_containers(spark, sf):
+    return pack_texts(table(spark, sf, "documents"))
+
+
+@_query
+def p6_fill(spark, sf):
+    return fill_report(pack_texts(table(spark, sf, "documents")))
+
+
+@_query
+def p7_found(spark, sf):
+    mix = Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return mix.plan.where(~F.col("reachable")).select("source")
+
+
+ORACLE["p7_found"] = """
+WITH n AS (SELECT t.source, t.weight, t.max_repeats, coalesce(d.tokens, 0) AS tokens
+           FROM mix_targets t LEFT JOIN (SELECT source, sum(strlen(text)) AS tokens FROM documents GROUP BY source) d ON d.source = t.source)
+SELECT source FROM n
+WHERE tokens * max_repeats * (SELECT sum(weight) FROM n) < weight * (SELECT sum(tokens) FROM n)
+"""
+
+
+@_query
+def p7_mix(spark, sf):
+    return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).draws()
+
+
+@_query
+def p7_report(spark, sf):
+    return Mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report()
+
+
+@_query
+def p8_found(spark, sf):
+    return sentence_ends_table(table(spark, sf, "documents"))
+
+
+@_query
+def p8_sentences(spark, sf):
+    return sentences(table(spark, sf, "documents"))
