@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.plans import timestamp_queries  # noqa: F401
 from lectern.plans.core_queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
