@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.mixing import Mixture
 from lectern.llm.neighbours import NeighbourIndex, sign_vectors
+from lectern.llm.newtext import new_text
 from lectern.llm.packing import fill_report, pack_texts
 from lectern.llm.sentences import sentence_ends_table, sentences
 from lectern.llm.splitting import split_items
@@ -99,3 +100,16 @@ def p8_found(spark, sf):
 @_query
 def p8_sentences(spark, sf):
     return sentences(table(spark, sf, "documents"))
+
+
+@_query
+def p3_found(spark, sf):
+    return new_text(table(spark, sf, "email_messages")).select("mail_id", "line_no")
+
+
+@_query
+def p3_new_text(spark, sf):
+    """The new lines of each mail, put together again."""
+    lines = new_text(table(spark, sf, "email_messages"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("mail_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("new_text"))
