@@ -8,6 +8,7 @@ from lectern.llm.mixing import Mixture
 from lectern.llm.neighbours import NeighbourIndex, sign_vectors
 from lectern.llm.newtext import new_text
 from lectern.llm.packing import fill_report, pack_texts
+from lectern.llm.scans import Scans
 from lectern.llm.sentences import sentence_ends_table, sentences
 from lectern.llm.splitting import split_items
 from lectern.session import table
@@ -113,3 +114,13 @@ def p3_new_text(spark, sf):
     lines = new_text(table(spark, sf, "email_messages"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return lines.groupBy("mail_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("new_text"))
+
+
+@_query
+def p5_found(spark, sf):
+    return Scans(table(spark, sf, "page_texts")).faults()
+
+
+@_query
+def p5_repaired(spark, sf):
+    return Scans(table(spark, sf, "page_texts")).repaired()
