@@ -88,7 +88,7 @@ def html_to_text_basic(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
     for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(ch))
-    lines = F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 
