@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH = 32
 
@@ -98,11 +99,11 @@ def deserialize(data: bytes) -> list[float]:
     return np.frombuffer(data[: len(data) // 4 * 4], "<f4").tolist()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def serialize_udf(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else serialize(v))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def deserialize_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else deserialize(b))
