@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import with_fields
+
 BATCH = 32
 
 
@@ -80,7 +82,7 @@ class HttpEmbedder:
 
 def embed(chunks: DataFrame, embedder: Embedder, text_col: str = "content") -> DataFrame:
     """``chunks`` with an ``embedding``; batches stay within Arrow batches."""
-    schema = chunks.schema.add("embedding", "array<float>")
+    schema = with_fields(chunks.schema, embedding=T.ArrayType(T.FloatType()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -11,6 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.session import with_fields
 
 
 @dataclass(frozen=True)
@@ -122,7 +125,7 @@ def upsert_sources(sources: DataFrame, changed: DataFrame) -> DataFrame:
     old = known.where("id is not null")
     fresh = known.where("id is null").drop("id")
     # zipWithIndex numbers without gathering the rows in one task
-    schema = fresh.schema.add("id", "long")
+    schema = with_fields(fresh.schema, id=T.LongType())
     numbered = fresh.orderBy(*key).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + top)).toDF(schema)
     return sources.join(latest.select(*key), key, "left_anti").select(*sources.columns).unionByName(old.select(*sources.columns)).unionByName(numbered.select(*sources.columns))
 

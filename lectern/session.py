@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -55,5 +56,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """A new schema with further fields; the one given stays as it is."""
+    return T.StructType([*schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

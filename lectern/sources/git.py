@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import paths
+from lectern.session import with_fields
 
 
 def git(repo: str, *args: str) -> str:
@@ -103,7 +105,7 @@ def not_blacklisted(rows: DataFrame, starts: list[str]) -> DataFrame:
 
 def file_changes(rows: DataFrame, repo: str) -> DataFrame:
     """One row per text file of each commit with its counts and diff; git runs in the tasks."""
-    schema = rows.schema.add("path", "string").add("additions", "int").add("deletions", "int").add("diff", "string")
+    schema = with_fields(rows.schema, path=T.StringType(), additions=T.IntegerType(), deletions=T.IntegerType(), diff=T.StringType())
 
     def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

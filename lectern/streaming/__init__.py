@@ -1 +1 @@
-
+"""Incremental ingestion on Structured Streaming."""
