@@ -70,7 +70,8 @@ def vector_parity(vectors: DataFrame, bits: DataFrame, dim: int = 64) -> DataFra
             return None
         return [int.from_bytes(raw[i : i + 8], "little", signed=True) for i in range(0, len(raw), 8)]
 
-    mine = vectors.select("vec_rowid", F.array(*signature(F.transform("embedding", lambda x: F.when(~F.isnan(x), x).otherwise(F.lit(0.0))), dim)).alias("want")).where("want[0] is not null")
+    clean = vectors.select("vec_rowid", F.transform("embedding", lambda x: F.when(~F.isnan(x), x).otherwise(F.lit(0.0))).alias("v"))
+    mine = clean.select("vec_rowid", F.array(*signature("v", dim)).alias("want")).where("want[0] is not null")
     theirs = bits.select("vec_rowid", unpack("embedding").alias("have"))
     both = mine.join(theirs, "vec_rowid", "left")
     return both.select("vec_rowid", F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("want"), "stale").alias("state")).where("state is not null")

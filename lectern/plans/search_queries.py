@@ -35,7 +35,7 @@ def engine(spark, sf) -> HybridSearch:
 def vec_quantize_bits(spark, sf):
     v = table(spark, sf, "vec_documents").where(F.size("embedding") == 64)
     clean = F.transform("embedding", lambda x: F.when(~F.isnan(x), x).otherwise(F.lit(0.0)))
-    return v.select("vec_rowid", F.bit_count(vector.signature(clean, 64)[0]).cast("long").alias("ones"))
+    return v.select("vec_rowid", clean.alias("v")).select("vec_rowid", F.bit_count(vector.signature("v", 64)[0]).cast("long").alias("ones"))
 
 
 @register("vec_hamming_topk", f"SELECT vec_rowid, h::BIGINT AS hamming FROM ({_POOL.format(pool=200)})")
