@@ -32,10 +32,10 @@ class Mixture:
     def __init__(self, docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 11):
         self.id_col = id_col
         self.targets = targets.groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
-        u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
+        u = (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
         keyed = (
-            docs.join(self.targets.select("source"), "source", "left_semi")
-            .select(F.col(id_col).cast("long").alias("id"), "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_tokens"), (-F.log(u) / quality(F.coalesce("text", F.lit("")))).alias("key"))
+            docs.select(F.col(id_col).cast("long").alias("id"), "source", "text").where("id is not null").join(self.targets.select("source"), "source", "left_semi")
+            .select("id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_tokens"), (-F.log(u) / quality(F.coalesce("text", F.lit("")))).alias("key"))
             .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
         )
         # one pass over the texts; everything after it works on a few bytes a row

@@ -12,7 +12,7 @@ A thread of more than ``THREAD`` mails is never gathered in a task: there the sa
 matches come from a join on hashes of ``LONG`` words in a row.
 
 Defined cases: null and blank bodies have no line; line ends are CRLF, CR or LF,
-numbering counts LF; mails without subject form no thread; a repeated body under
+numbering counts LF; mails without subject form no thread; rows without id are left out; a repeated body under
 another id inherits nothing from its copy; null senders have no name to strip.
 """
 
@@ -311,7 +311,7 @@ def _whole_lines(at: list[int], covered: list[bool]) -> set[int]:
 
 
 def _bodies(mails: DataFrame) -> DataFrame:
-    return mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S"))
+    return mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
 
 
 def recurring_endings(mails: DataFrame) -> frozenset[str]:

@@ -7,7 +7,7 @@ however large the table or one source is; only (id, size) is exchanged.
 
 Defined cases: an item larger than the capacity, and only such an item, is cut
 into pieces at character boundaries; null and empty texts have size 0 and ride
-in any window; repeated ids are packed as separate items.
+in any window; repeated ids are packed as separate items; rows without id are left out.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
     """(container, id, piece_no, n_pieces, start_token, n_tokens), tokens being the bytes of the text."""
-    items = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    items = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
     shards = max(1, round(items.count() / SHARD_ITEMS))
     size = F.coalesce(F.octet_length("t"), F.lit(0))
 

@@ -5,7 +5,7 @@ unit the automaton reads only events (terminators, quotes, brackets, blanks
 between Thai letters); its stack holds the open quotes and brackets, and nothing
 ends while it is not empty. Abbreviations are read backwards through a trie.
 
-Defined cases: a null, empty or blank text has no sentence; a quote or bracket
+Defined cases: a null, empty or blank text has no sentence; rows without id are left out; a quote or bracket
 that never closes in its unit is not opened; a unit without closing mark ends
 with its last character that is not blank; offsets count code points, and the
 cost grows linearly with the text.
@@ -290,7 +290,7 @@ def sentence_ends_table(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ends += got
             yield pa.record_batch({"id": pa.array(ids, pa.int64()), "end_char": pa.array(ends, pa.int32())})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(split, "id long, end_char int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).mapInArrow(split, "id long, end_char int").withColumnRenamed("id", id_col)
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,4 +306,4 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "sentence_no", "start_char", "end_char", "sentence"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(split, "id long, sentence_no int, start_char int, end_char int, sentence string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).mapInArrow(split, "id long, sentence_no int, start_char int, end_char int, sentence string").withColumnRenamed("id", id_col)

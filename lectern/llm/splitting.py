@@ -7,7 +7,7 @@ end. Pieces are substrings: the first, plus every later one without its first
 ``overlap`` characters, give the content back.
 
 Defined cases: contents of at most ``limit`` characters, null or empty ones give
-no piece unless ``keep_short``; whitespace longer than the limit is cut like any
+no piece unless ``keep_short``; rows without id are left out, repeated ids are items of their own; whitespace longer than the limit is cut like any
 other text; very long contents cost linear time.
 """
 
@@ -99,5 +99,5 @@ def split_items(items: DataFrame, id_col: str, text_col: str, limit: int = 2000,
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "chunk_index", "start_char", "end_char", "piece", "cut_level"])
 
     source = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    source = source.where(F.char_length("t") > (0 if keep_short else limit))
+    source = source.where(F.col("id").isNotNull() & (F.char_length("t") > (0 if keep_short else limit)))
     return source.mapInArrow(split, "id long, chunk_index int, start_char int, end_char int, piece string, cut_level string").withColumnRenamed("id", id_col)
