@@ -158,6 +158,10 @@ def zones(home_zones: DataFrame) -> DataFrame:
 
 def to_instant(records: DataFrame, home_zones: DataFrame, value_col: str, origin_col: str, out: str = "utc_second") -> DataFrame:
     """``records`` with the instant of ``value_col`` in whole UTC seconds, or null where it is not exactly one."""
-    joined = records.join(zones(home_zones), F.col(origin_col) == F.col("_origin"), "left")
-    joined = joined.withColumn("_instants", instants(F.col(value_col), F.col("_tz")))
-    return joined.withColumn(out, F.when(F.size("_instants") == 1, F.col("_instants")[0])).drop("_origin", "_tz", "_instants")
+    pre = "_"
+    while any(c.startswith(pre + "w_") for c in records.columns):  # names that no column of the records has
+        pre += "_"
+    o, tz, got = f"{pre}w_origin", f"{pre}w_tz", f"{pre}w_instants"
+    z = zones(home_zones).select(F.col("_origin").alias(o), F.col("_tz").alias(tz))
+    joined = records.join(z, records[origin_col] == z[o], "left").withColumn(got, instants(F.col(value_col), F.col(tz)))
+    return joined.withColumn(out, F.when(F.size(got) == 1, F.col(got)[0])).drop(o, tz, got)
