@@ -10,19 +10,20 @@ import json
 import os
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.config import Config
 from lectern.functions import chunking, paths
+from lectern.functions.code import code_blocks_udf
 from lectern.functions.embedding import Embedder, HashEmbedder, embed
 from lectern.functions.parsers import PdfReader, documents_udf, parse_markdown_udf
 from lectern.operators import catalog, ingest
 from lectern.operators.filters import SearchFilters
 from lectern.operators.fusion import HybridSearch, score_text, source_uri
-from lectern.session import with_fields
-from lectern.sources import files
+from lectern.session import materialize, with_fields
+from lectern.sources import files, git, sqlite
 
 SCHEMAS = {
     "collections": "id long, collection_name string, collection_type string, description string, paths string, created_at string",
@@ -119,27 +120,164 @@ class Engine:
             meta = F.when(F.col("source_type") == "pdf", F.to_json(F.struct(F.col("n").alias("page_number"), F.when(F.col("ocr"), True).alias("ocr")))).otherwise(F.lit(""))
             rest = rest.select("collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "n", title.alias("title"), meta.alias("metadata"), F.posexplode(chunking.plain_chunks(F.col("text"), size, overlap)).alias("k", "content"))
             cols = ["collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "n", "k", "title", "content", "metadata"]
-            chunks = embed(md.select(*cols).unionByName(rest.select(*cols)), self.embedder).persist()
-            done = chunks.select("collection_id", "source_type", "source_path", "file_hash", "file_modified_at").distinct().withColumn("last_indexed_at", F.current_timestamp())
-            indexed, wanted = done.count(), changed.count()
-            if indexed:
-                sources = catalog.upsert_sources(s.sources, done)
-                old = s.sources.join(done.select("collection_id", "source_path"), ["collection_id", "source_path"], "left_semi")
-                kept = catalog.delete_sources(s, old.select("id"))
-                top = s.documents.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-                new_ids = chunks.join(sources.select(F.col("id").alias("source_id"), "collection_id", "source_path"), ["collection_id", "source_path"])
-                order = ["source_id", "n", "k"]
-                rdd = new_ids.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + top))
-                numbered = rdd.toDF(with_fields(new_ids.schema, doc_id=T.LongType())).persist()
-                first = numbered.groupBy("source_id").agg(F.min("doc_id").alias("_first"))
-                docs = numbered.join(first, "source_id").select("doc_id", "source_id", "collection_id", (F.col("doc_id") - F.col("_first")).cast("int").alias("chunk_index"), "title", "content", "metadata", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
-                vecs = numbered.select(F.col("doc_id").alias("vec_rowid"), F.col("doc_id").alias("document_id"), "embedding")
-                s = catalog.Store(s.collections, sources, kept.documents.unionByName(docs), kept.vectors.unionByName(vecs.select(*kept.vectors.columns)))
+            done, s = self._store_chunks(s, md.select(*cols).unionByName(rest.select(*cols)))
             self.commit(s)
-            return {"indexed": indexed, "skipped": total - indexed, "errors": 0, "total_found": total, "changed": wanted}
+            return {"indexed": done, "skipped": total - done, "errors": 0, "total_found": total}
         finally:
             found.unpersist()
 
+    def _store_chunks(self, s: catalog.Store, rows: DataFrame) -> tuple[int, catalog.Store]:
+        """Embed chunks (collection_id, source_path, source_type, file_hash, file_modified_at, n, k, title,
+        content, metadata) and put them in place of what the store had of their sources. The embedded chunks
+        are written first: nothing of the store changes if a model server fails."""
+        chunks = materialize(embed(rows, self.embedder), "chunks")
+        done = chunks.select("collection_id", "source_type", "source_path", "file_hash", "file_modified_at").dropDuplicates(["collection_id", "source_path"]).withColumn("last_indexed_at", F.current_timestamp())
+        indexed = done.count()
+        if not indexed:
+            return 0, s
+        sources = catalog.upsert_sources(s.sources, done)
+        old = s.sources.join(done.select("collection_id", "source_path"), ["collection_id", "source_path"], "left_semi")
+        kept = catalog.delete_sources(s, old.select("id"))
+        top = s.documents.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        new_ids = chunks.join(sources.select(F.col("id").alias("source_id"), "collection_id", "source_path"), ["collection_id", "source_path"])
+        rdd = new_ids.orderBy("source_id", "n", "k").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + top))
+        numbered = materialize(rdd.toDF(with_fields(new_ids.schema, doc_id=T.LongType())), "numbered")
+        first = numbered.groupBy("source_id").agg(F.min("doc_id").alias("_first"))
+        docs = numbered.join(first, "source_id").select("doc_id", "source_id", "collection_id", (F.col("doc_id") - F.col("_first")).cast("int").alias("chunk_index"), "title", "content", "metadata", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+        vecs = numbered.select(F.col("doc_id").alias("vec_rowid"), F.col("doc_id").alias("document_id"), "embedding")
+        return indexed, catalog.Store(s.collections, sources, kept.documents.unionByName(docs), kept.vectors.unionByName(vecs.select(*kept.vectors.columns)))
+
+    def _index_items(self, name: str, kind: str, source_type: str, items: DataFrame, force: bool, allow_late: bool = True) -> dict:
+        """Items (source_path, title, body, metadata, date): those behind the watermark that the store does not
+        have are chunked like mails. By default the natural key alone decides, so late rows are taken."""
+        s, coll = self.get_or_create_collection(self.store(), name, kind, None)
+        mine = items.withColumn("collection_id", F.lit(coll).cast("long"))
+        total = mine.count()
+        if not force:
+            mark = catalog.watermark(s, coll).first()
+            mine = ingest.since_watermark(mine, mark["watermark"] if mark else None, allow_late=allow_late)
+            mine = ingest.not_indexed(mine, s.sources)
+        run = chunking.email_chunks(self.config.chunk_size, self.config.chunk_overlap)
+        rows = mine.withColumn("c", F.explode(run("title", "body"))).select(
+            "collection_id", "source_path", F.lit(source_type).alias("source_type"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("string").alias("file_modified_at"),
+            F.lit(0).alias("n"), F.col("c.chunk_index").alias("k"), F.col("c.title").alias("title"), F.col("c.text").alias("content"), "metadata",
+        )
+        done, s = self._store_chunks(s, rows)
+        self.commit(s)
+        return {"indexed": done, "skipped": total - done, "errors": 0, "total_found": total}
+
+    def index_mail(self, accounts: list[str] | None = None, force: bool = False, allow_late: bool = True) -> dict:
+        out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
+        for account in accounts or sqlite.mail_accounts(os.path.expanduser(self.config.mail_path)):
+            mails = sqlite.read_mails(self.spark, account)
+            meta = F.to_json(F.struct("sender", "recipients", "date", "folder"))
+            items = mails.select(F.concat(F.lit("email://"), "message_id").alias("source_path"), F.col("subject").alias("title"), "body", meta.alias("metadata"), "date")
+            out = {k: v + out[k] for k, v in self._index_items("email", "system", "email", items, force, allow_late).items()}
+        return out
+
+    def index_feeds(self, accounts: list[str] | None = None, force: bool = False, allow_late: bool = True) -> dict:
+        out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
+        for account in accounts or sqlite.feed_accounts(os.path.expanduser(self.config.feed_path)):
+            rows = sqlite.read_articles(self.spark, account)
+            meta = F.to_json(F.struct("url", "feed_name", "date", F.nullif("feed_category", F.lit("")).alias("feed_category"), F.when(F.size("authors") > 0, F.col("authors")).alias("authors")))
+            items = rows.select(F.concat(F.lit("rss://"), F.col("id").cast("string")).alias("source_path"), "title", "body", meta.alias("metadata"), "date")
+            out = {k: v + out[k] for k, v in self._index_items("rss", "system", "rss", items, force, allow_late).items()}
+        return out
+
+    def index_books(self, libraries: list[str] | None = None, force: bool = False) -> dict:
+        """Books by their EPUB, else their PDF where it is on disk, then their description."""
+        out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
+        pdf, size, overlap = self.pdf, self.config.chunk_size, self.config.chunk_overlap
+        for library in map(os.path.expanduser, libraries or self.config.book_libraries):
+            s, coll = self.get_or_create_collection(self.store(), "calibre", "system", None)
+            books = sqlite.read_books(self.spark, library)
+            keep = [F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("authors", "tags", "languages")]
+            meta = F.to_json(F.struct(*keep, "series", "publisher", "pubdate", "rating", "identifiers", F.col("id").alias("calibre_id"), F.lit(library).alias("library")))
+            rows = books.select(F.concat(F.lit("calibre://"), F.lit(library), F.lit("/"), F.col("path")).alias("source_path"), "title", "path", "formats", "description", meta.alias("metadata"), F.lit(coll).cast("long").alias("collection_id"))
+            total = rows.count()
+            fresh = rows if force else ingest.not_indexed(rows, s.sources)
+
+            def read(frames):
+                import pandas as pd
+
+                from lectern.functions.parsers import html_to_text, parse_epub, parse_pdf
+
+                for frame in frames:
+                    got = []
+                    for r in frame.itertuples(index=False):
+                        files_ = dict(r.formats) if r.formats is not None else {}
+                        parts = []
+                        for ext in ("EPUB", "PDF"):
+                            file = os.path.join(library, r.path, f"{files_.get(ext)}.{ext.lower()}")
+                            if ext not in files_ or not os.path.exists(file):
+                                continue
+                            with open(file, "rb") as f:
+                                data = f.read()
+                            base = json.loads(r.metadata)
+                            if ext == "EPUB":
+                                parts = [(f"chapter {n}", t, base | {"format": ext, "chapter_number": n}) for n, t in parse_epub(data)]
+                            elif pdf is not None:
+                                parts = [(f"page {n}", t, base | {"format": ext, "page_number": n} | ({"ocr": True} if o else {})) for n, t, o in parse_pdf(data, pdf)]
+                            break
+                        if r.description:
+                            parts.append(("description", html_to_text(r.description), json.loads(r.metadata) | {"chunk_type": "description"}))
+                        for c in chunking.part_chunks(parts, r.title or "", size, overlap):
+                            got.append((r.collection_id, r.source_path, "calibre", None, None, 0, c["chunk_index"], c["title"], c["text"], c["metadata"]))
+                    yield pd.DataFrame(got, columns=["collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "n", "k", "title", "content", "metadata"])
+
+            chunks = fresh.mapInPandas(read, "collection_id long, source_path string, source_type string, file_hash string, file_modified_at string, n int, k int, title string, content string, metadata string")
+            done, s = self._store_chunks(s, chunks)
+            self.commit(s)
+            got = {"indexed": done, "skipped": total - done, "errors": 0, "total_found": total}
+            out = {k: v + out[k] for k, v in got.items()}
+        return out
+
+    def index_code(self, name: str, roots: list[str], history: bool = False, force: bool = False) -> dict:
+        """Tracked files of the repositories below the roots, and their commits if asked; the head of each
+        repository is kept in the collection's description, so an unchanged one costs one git call."""
+        out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
+        size, overlap = self.config.chunk_size, self.config.chunk_overlap
+        for repo in git.resolve(roots):
+            s, coll = self.get_or_create_collection(self.store(), name, "code", roots)
+            row = s.collections.where(F.col("id") == coll).first()
+            marks = ingest.parse_watermarks(row["description"])
+            head = git.head(repo)
+            if marks.get(repo) == head and not force:
+                continue
+            changed = None if force else git.changed_since(repo, marks.get(repo))
+            tracked = git.tracked(self.spark, repo).persist()
+            todo = tracked if changed is None else self.spark.createDataFrame([(c,) for c in changed], "path string").join(tracked, "path", "left_semi")
+            texts = git.read_files(todo, repo).withColumn("collection_id", F.lit(coll).cast("long")).withColumn("source_path", F.concat(F.lit(repo + "/"), "path"))
+            total = texts.count()
+            texts = ingest.changed_files(texts, s.sources, force)
+            block = texts.select("*", F.posexplode(code_blocks_udf(size, overlap)("text", "language")).alias("k", "b")).drop("text")
+            head_line = chunking.code_header(F.col("path"), F.col("b.start_line"), F.col("b.end_line"), F.col("language"), F.col("b.symbol_type"), F.col("b.symbol_path"), F.col("b.symbol"))
+            meta = F.to_json(F.struct("language", F.col("b.symbol").alias("symbol_name"), F.col("b.symbol_type").alias("symbol_type"), F.col("b.start_line").alias("start_line"), F.col("b.end_line").alias("end_line"), F.col("path").alias("file_path"), F.nullif("b.symbol_path", F.lit("")).alias("symbol_path")))
+            cols = ["collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "n", "k", "title", "content", "metadata"]
+            rows = block.select("collection_id", "source_path", F.lit("code").alias("source_type"), "file_hash", F.lit(None).cast("string").alias("file_modified_at"), F.lit(0).alias("n"), "k", F.col("path").alias("title"), F.concat(head_line, F.lit("\n"), F.col("b.text")).alias("content"), meta.alias("metadata")).select(*cols)
+            if history:
+                log = git.not_blacklisted(git.commits(self.spark, repo, marks.get(f"{repo}:history"), self.config.git_history_months), self.config.git_subject_blacklist)
+                paths_ = log.withColumn("source_path", F.concat(F.lit(f"git://{repo}#"), "sha")).withColumn("collection_id", F.lit(coll).cast("long"))
+                fresh = ingest.not_indexed(paths_, s.sources)
+                files_ = git.file_changes(fresh, repo)
+                top = chunking.commit_header(F.lit(os.path.basename(repo)), F.col("path"), F.col("sha"), F.col("author_date"))
+                m = F.to_json(F.struct(F.col("sha").alias("commit_sha"), F.substring("sha", 1, 7).alias("commit_sha_short"), "author_name", "author_email", "author_date", F.col("subject").alias("commit_message"), F.col("path").alias("file_path"), "additions", "deletions"))
+                shown = files_.select("*", m.alias("metadata"), F.posexplode(chunking.commit_chunks(top, F.col("subject"), F.col("diff"), size, overlap)).alias("k", "content"))
+                order = F.row_number().over(Window.partitionBy("sha").orderBy("path", "k")).cast("int")
+                rows = rows.unionByName(shown.select("collection_id", "source_path", F.lit("commit").alias("source_type"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("string").alias("file_modified_at"), F.lit(0).alias("n"), order.alias("k"), F.col("subject").alias("title"), "content", "metadata").select(*cols))
+            done, s = self._store_chunks(s, rows)
+            gone = [] if changed is None else [f"{repo}/{c}" for c in changed]
+            if gone:
+                dead = s.sources.where((F.col("collection_id") == coll) & F.col("source_path").isin(gone)).join(tracked.select(F.concat(F.lit(repo + "/"), "path").alias("source_path")), "source_path", "left_anti")
+                s = catalog.delete_sources(s, dead.select("id"))
+            marks |= {repo: head} | ({f"{repo}:history": head} if history else {})
+            s = replace(s, collections=s.collections.withColumn("description", F.when(F.col("id") == coll, F.lit(json.dumps(marks))).otherwise(F.col("description"))))
+            self.commit(s)
+            tracked.unpersist()
+            got = {"indexed": done, "skipped": max(0, total - done), "errors": 0, "total_found": total}
+            out = {k: v + out[k] for k, v in got.items()}
+        return out
+
     def prune_files(self, name: str) -> dict:
         """Drop the collection's sources whose files are gone; commits and other URIs stay."""
         s = self.store()

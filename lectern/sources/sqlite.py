@@ -44,7 +44,7 @@ class SqliteReader(DataSourceReader):
             except sqlite3.OperationalError:  # no rowid
                 return [InputPartition(None)]
         if lo is None:
-            return []
+            return [InputPartition((0, -1))]
         step = max(1, -(-(hi - lo + 1) // self.parts))
         return [InputPartition((a, min(a + step - 1, hi))) for a in range(lo, hi + 1, step)]
 

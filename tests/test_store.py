@@ -109,6 +109,47 @@ def test_engine_indexes_once_and_prunes(spark, tmp_path):
     assert e.list_collections() == [] and e.table("documents").count() == 0
 
 
+def test_engine_indexes_code_with_history(spark, tmp_path):
+    repo = tmp_path / "one"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=A", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (repo / "a.py").write_text("def hello():\n    return 'telescope'\n")
+    (repo / "b.py").write_text("x = 1\n")
+    run("add", "-A")
+    run("commit", "-qm", "First")
+    e = Engine(spark, Config(db_path=str(tmp_path / "store"), embedding_dimensions=64))
+    assert e.index_code("anvil", [str(tmp_path)], history=True)["indexed"] == 3
+    assert e.index_code("anvil", [str(tmp_path)], history=True) == {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
+    hit = e.search_results("telescope", top_k=1, filters=SearchFilters(source_type="code"))[0]
+    assert hit["content"].startswith("[a.py:1-2] [python] [function: hello]\n") and hit["source_uri"] == f"vscode://file{repo}/a.py:1"
+    (repo / "b.py").unlink()
+    (repo / "a.py").write_text("def hello():\n    return 'lantern'\n")
+    run("commit", "-qam", "Second")
+    assert e.index_code("anvil", [str(tmp_path)], history=True)["indexed"] == 2
+    assert {r.source_path.rsplit("/", 1)[1][:4] for r in e.table("sources").collect()} == {"a.py", "one#"}
+
+
+def test_engine_indexes_mail_and_books(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "mail_index.dat")
+    con.executescript("CREATE TABLE MailItems (id INTEGER PRIMARY KEY, folder INTEGER, date INTEGER, subject TEXT, messageId TEXT, preview TEXT); INSERT INTO MailItems VALUES (1, 7, 634326708205419183, 'Hi', '<m1>', 'about a lantern'), (2, 7, 634326708205419184, 'Yo', '<m2>', 'x'); CREATE TABLE MailAddresses (parentId INTEGER, type INTEGER, displayName TEXT, address TEXT, position INTEGER)")
+    con.close()
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    con = sqlite3.connect(lib / "metadata.db")
+    con.executescript("CREATE TABLE books (id INTEGER PRIMARY KEY, title TEXT, path TEXT, pubdate TEXT, last_modified TEXT, series_index REAL); INSERT INTO books VALUES (1, 'Maps', 'A/Maps (1)', '2020', NULL, 1.0)")
+    for link, target, key, value in (("authors", "authors", "author", "name"), ("tags", "tags", "tag", "name"), ("languages", "languages", "lang_code", "lang_code"), ("series", "series", "series", "name"), ("publishers", "publishers", "publisher", "name"), ("ratings", "ratings", "rating", "rating")):
+        con.executescript(f"CREATE TABLE books_{link}_link (id INTEGER PRIMARY KEY, book INTEGER, {key} INTEGER); CREATE TABLE {target} (id INTEGER PRIMARY KEY, {value} TEXT); INSERT INTO books_{link}_link VALUES (1, 1, 5); INSERT INTO {target} VALUES (5, '{link}5')")
+    con.executescript("CREATE TABLE identifiers (id INTEGER PRIMARY KEY, book INTEGER, type TEXT, val TEXT); INSERT INTO identifiers VALUES (1, 1, 'isbn', 'old'), (2, 1, 'isbn', 'new'); CREATE TABLE comments (id INTEGER PRIMARY KEY, book INTEGER, text TEXT); INSERT INTO comments VALUES (1, 1, '<p>About <b>maps</b></p>'); CREATE TABLE data (id INTEGER PRIMARY KEY, book INTEGER, format TEXT, name TEXT)")
+    con.close()
+    e = Engine(spark, Config(db_path=str(tmp_path / "store"), embedding_dimensions=64))
+    assert e.index_mail([str(tmp_path)])["indexed"] == 2 and e.index_mail([str(tmp_path)])["indexed"] == 0
+    assert e.index_books([str(lib)])["indexed"] == 1 and e.index_books([str(lib)])["indexed"] == 0
+    book = e.search_results("maps", top_k=1, filters=SearchFilters(author="authors5"))[0]
+    assert book["title"] == "Maps (description)" and book["metadata"]["identifiers"] == {"isbn": "new"} and book["metadata"]["calibre_id"] == 1
+    assert e.search_results("lantern", top_k=1, filters=SearchFilters(collection="email"))[0]["source_path"] == "email://<m1>"
+
+
 def test_config(tmp_path):
     path = str(tmp_path / "c" / "config.json")
     assert Config.load(path) == Config()
