@@ -66,13 +66,13 @@ def dedup_natural_key(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-_FILES = "SELECT collection_id, source_path, CASE WHEN id % 3 = 0 THEN sha256(source_path) ELSE file_hash END AS file_hash FROM sources WHERE file_hash IS NOT NULL"
+_FILES = "SELECT collection_id, source_path, CASE WHEN file_modified_at > '2020' THEN sha256(source_path) ELSE file_hash END AS file_hash FROM sources WHERE file_hash IS NOT NULL"
 
 
 @register("changed_files_antijoin", f"SELECT f.* FROM ({_FILES}) f WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.collection_id = f.collection_id AND s.source_path = f.source_path AND s.file_hash = f.file_hash)")
 def changed_files_antijoin(spark, sf):
     s = table(spark, sf, "sources")
-    files = s.where("file_hash is not null").select("collection_id", "source_path", F.when(F.col("id") % 3 == 0, F.sha2("source_path", 256)).otherwise(F.col("file_hash")).alias("file_hash"))
+    files = s.where("file_hash is not null").select("collection_id", "source_path", F.when(F.col("file_modified_at") > "2020", F.sha2("source_path", 256)).otherwise(F.col("file_hash")).alias("file_hash"))
     return ingest.changed_files(files, s)
 
 
@@ -89,16 +89,16 @@ def stale_sources_antijoin(spark, sf):
     return ingest.stale_sources(s, alive).select("id")
 
 
-@register("diff_classify", "SELECT DISTINCT source_path AS path, CASE WHEN id % 2 = 0 THEN 'index' ELSE 'delete' END AS action FROM sources WHERE source_type = 'markdown'")
+@register("diff_classify", "SELECT DISTINCT source_path AS path, CASE WHEN file_modified_at > '2020' THEN 'index' ELSE 'delete' END AS action FROM sources WHERE source_type = 'markdown'")
 def diff_classify(spark, sf):
-    s = table(spark, sf, "sources").where("source_type = 'markdown'").select("id", F.col("source_path").alias("path"))
-    return ingest.classify_diff(s, s.where("id % 2 = 0"))
+    s = table(spark, sf, "sources").where("source_type = 'markdown'").select("file_modified_at", F.col("source_path").alias("path"))
+    return ingest.classify_diff(s, s.where("file_modified_at > '2020'"))
 
 
-@register("prune_result", "SELECT (SELECT count(*) FROM sources WHERE NOT contains(source_path, '://')) AS checked, (SELECT count(*) FROM sources WHERE NOT contains(source_path, '://') AND id % 5 = 0) AS pruned")
+@register("prune_result", "SELECT (SELECT count(*) FROM sources WHERE NOT contains(source_path, '://')) AS checked, (SELECT count(*) FROM sources WHERE NOT contains(source_path, '://') AND coalesce(file_modified_at, '') <= '2012') AS pruned")
 def prune_result(spark, sf):
     s = table(spark, sf, "sources")
-    stale = ingest.stale_sources(s, s.where("id % 5 <> 0"), skip_uris=True)
+    stale = ingest.stale_sources(s, s.where("file_modified_at > '2012'"), skip_uris=True)
     return ingest.prune_result(s, stale, skip_uris=True)
 
 

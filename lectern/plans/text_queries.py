@@ -95,16 +95,14 @@ def mails(spark, sf):
 _STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"
 
 
-@register("mail_strip_quotes", "SELECT mail_id, " + _STRIP.format(r"regexp_replace(regexp_replace(body_text, '(?im)^On\s+.{10,80}\s+wrote:\s*$(?s:.*)', ''), '(?m)^>.*$', '', 'g')").replace("{{", "{").replace("}}", "}") + " AS out FROM email_messages WHERE NOT contains(body_text, chr(13))")
+@register("mail_strip_quotes", "SELECT mail_id, " + _STRIP.format(r"regexp_replace(regexp_replace(body_text, '(?im)^On\s+.{10,80}\s+wrote:\s*$(?s:.*)', ''), '(?m)^>.*$', '', 'g')").replace("{{", "{").replace("}}", "}") + " AS out FROM email_messages")
 def mail_strip_quotes(spark, sf):
-    rows = mails(spark, sf).where(~F.col("body_text").contains("\r"))
-    return rows.select("mail_id", text.strip_quoted_replies(F.col("body_text")).alias("out"))
+    return mails(spark, sf).select("mail_id", text.strip_quoted_replies(F.col("body_text")).alias("out"))
 
 
-@register("mail_strip_signature", r"SELECT mail_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body_text, '(?m)^-- $(?s:.*)', ''), '(?im)^Sent from my (?:iPhone|iPad|Android|Galaxy).*$(?s:.*)', ''), '(?im)^Get Outlook for .*$(?s:.*)', ''), '^\s+', ''), '\s+$', '') AS out FROM email_messages WHERE NOT contains(body_text, chr(13))")
+@register("mail_strip_signature", r"SELECT mail_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body_text, '(?m)^-- $(?s:.*)', ''), '(?im)^Sent from my (?:iPhone|iPad|Android|Galaxy).*$(?s:.*)', ''), '(?im)^Get Outlook for .*$(?s:.*)', ''), '^\s+', ''), '\s+$', '') AS out FROM email_messages")
 def mail_strip_signature(spark, sf):
-    rows = mails(spark, sf).where(~F.col("body_text").contains("\r"))
-    return rows.select("mail_id", text.strip_signature(F.col("body_text")).alias("out"))
+    return mails(spark, sf).select("mail_id", text.strip_signature(F.col("body_text")).alias("out"))
 
 
 @register("mail_fallback_id", "SELECT mail_id, substring(sha256(coalesce(sender, '') || '|' || coalesce(subject, '') || '|' || coalesce(sent_date, '')), 1, 32) AS fallback_id FROM email_messages")
