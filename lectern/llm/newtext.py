@@ -344,8 +344,7 @@ def new_text(mails: DataFrame) -> DataFrame:
 
     keyed = _bodies(mails).withColumn("thread", threads("subject")).withColumn("thread", F.when(F.length("thread") > 0, F.col("thread")).otherwise(F.concat(F.lit("\u0000"), F.col("mail_id"))))
     sizes = keyed.groupBy("thread").agg(F.count("*").alias("n"))
-    hot = [r["thread"] for r in sizes.where(F.col("n") > THREAD).select("thread").collect()]  # at most rows / THREAD
-    is_hot = F.col("thread").isin(hot) if hot else F.lit(False)
+    hot = sizes.where(F.col("n") > THREAD).select("thread")  # joined, not collected: their number grows with the mails
     schema = "mail_id long, line_no int, line string"
 
     def final(mail_id, sender, lines, old, inherited, out):
@@ -373,9 +372,7 @@ def new_text(mails: DataFrame) -> DataFrame:
             final(mail_id, sender, lines, old, inherited, out)
         return pd.DataFrame(out, columns=["mail_id", "line_no", "line"])
 
-    cold = keyed.where(~is_hot).groupBy("thread").applyInPandas(per_thread, schema)
-    if not hot:
-        return cold
+    cold = keyed.join(hot, "thread", "left_anti").groupBy("thread").applyInPandas(per_thread, schema)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -388,7 +385,7 @@ def new_text(mails: DataFrame) -> DataFrame:
                     out.append((t, h, mail_id, whole))
             yield pd.DataFrame(out, columns=["thread", "h", "mail_id", "whole"])
 
-    hot_mails = keyed.where(is_hot)
+    hot_mails = keyed.join(hot, "thread", "left_semi")
     rows = hot_mails.mapInPandas(grams, "thread string, h long, mail_id long, whole long")
     first = rows.groupBy("thread", "h").agg(F.min(F.struct("mail_id", "whole")).alias("first"))
     known = rows.join(first, ["thread", "h"]).where((F.col("first.mail_id") < F.col("mail_id")) & (F.col("first.whole") != F.col("whole")))
