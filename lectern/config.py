@@ -50,6 +50,32 @@ class Config:
     def store(self) -> str:
         return expand(self.db_path)
 
+    def _paths_of(self, collection: str) -> list[str]:
+        lists = {"obsidian": self.vaults, "calibre": self.book_libraries}
+        got = lists.get(collection, self.repositories.get(collection, self.projects.get(collection)))
+        if got is None:
+            raise KeyError(collection)
+        return got
+
+    def list_paths(self, collection: str) -> list[str]:
+        return list(self._paths_of(collection))
+
+    def add_paths(self, collection: str, new: list[str]) -> list[str]:
+        """The paths in order, each once."""
+        got = self._paths_of(collection)
+        got[:] = list(dict.fromkeys([*got, *map(unexpand, new)]))
+        return list(got)
+
+    def remove_paths(self, collection: str, gone: list[str]) -> list[str]:
+        got, drop = self._paths_of(collection), {expand(p) for p in gone}
+        got[:] = [p for p in got if expand(p) not in drop]
+        return list(got)
+
+    def update_path(self, collection: str, old: str, new: str) -> list[str]:
+        got = self._paths_of(collection)
+        got[:] = [unexpand(new) if expand(p) == expand(old) else p for p in got]
+        return list(got)
+
     @classmethod
     def load(cls, path: str) -> Config:
         """Defaults for a missing or unreadable file; known keys of the right type are taken over."""

@@ -292,5 +292,95 @@ class Engine:
             self.commit(catalog.delete_sources(s, stale.select("id")))
         return result
 
+    def _prune_to(self, name: str, current: DataFrame | None) -> dict:
+        """Drop the collection's sources that are not among the current ones; an unreadable or empty source
+        prunes nothing, as a failure must never pass for an empty list."""
+        s = self.store()
+        coll = s.collections.where(F.col("collection_name") == name).first()
+        if coll is None or current is None or current.isEmpty():
+            return {"checked": 0, "pruned": 0}
+        mine = s.sources.where(F.col("collection_id") == coll["id"])
+        stale = materialize(ingest.stale_sources(mine, current), "stale")
+        result = ingest.prune_result(mine, stale).first().asDict()
+        if result["pruned"]:
+            self.commit(catalog.delete_sources(s, stale.select("id")))
+        return result
+
+    def prune(self, name: str) -> dict:
+        """By the name of the collection (mail, feeds, books), else by its files."""
+        readers = {
+            "email": lambda: [sqlite.read_mails(self.spark, a).select(F.concat(F.lit("email://"), "message_id").alias("source_path")) for a in sqlite.mail_accounts(os.path.expanduser(self.config.mail_path))],
+            "rss": lambda: [sqlite.read_table(self.spark, os.path.join(a, "DB.sqlite3"), "articles").select(F.concat(F.lit("rss://"), F.col("articleID").cast("string")).alias("source_path")) for a in sqlite.feed_accounts(os.path.expanduser(self.config.feed_path))],
+            "calibre": lambda: [sqlite.read_table(self.spark, os.path.join(os.path.expanduser(b), "metadata.db"), "books").select(F.concat(F.lit(f"calibre://{os.path.expanduser(b)}/"), "path").alias("source_path")) for b in self.config.book_libraries],
+        }
+        if name not in readers:
+            return self.prune_files(name)
+        try:
+            parts = readers[name]()
+        except Exception:
+            return {"checked": 0, "pruned": 0}
+        current = None
+        for p in parts:
+            current = p if current is None else current.unionByName(p)
+        return self._prune_to(name, current)
+
+    def prune_all(self) -> dict:
+        out = {"checked": 0, "pruned": 0}
+        for row in self.store().collections.select("collection_name").collect():
+            if self.config.enabled(row["collection_name"]):
+                out = {k: v + out[k] for k, v in self.prune(row["collection_name"]).items()}
+        return out
+
+    def collection_paths(self, name: str) -> list[str] | None:
+        row = self.store().collections.where(F.col("collection_name") == name).first()
+        if row is None:
+            raise KeyError(name)
+        return json.loads(row["paths"]) if row["paths"] else None
+
+    def set_collection_paths(self, name: str, roots: list[str] | None) -> None:
+        self.collection_paths(name)
+        s = self.store()
+        shown = F.lit(json.dumps(roots) if roots is not None else None).cast("string")
+        self.commit(replace(s, collections=s.collections.withColumn("paths", F.when(F.col("collection_name") == name, shown).otherwise(F.col("paths")))))
+
+    def rewrite_paths(self, name: str, old: str, new: str) -> int:
+        s = self.store()
+        coll = s.collections.where(F.col("collection_name") == name).first()
+        if coll is None:
+            raise KeyError(name)
+        mine = F.col("collection_id") == coll["id"]
+        n = s.sources.where(mine & F.col("source_path").startswith(old)).count()
+        if n:
+            self.commit(replace(s, sources=catalog.rewrite_paths(s.sources, old, new, mine)))
+        return n
+
+    def export(self, name: str) -> list[dict]:
+        return [json.loads(r.source) for r in catalog.export_collection(self.store(), name).orderBy("id").collect()]
+
+    def index_all(self, force: bool = False) -> dict[str, dict]:
+        """Every configured source after a prune of its files; one that fails is reported, the rest goes on."""
+        c, jobs = self.config, {}
+        if c.vaults:
+            jobs["obsidian"] = lambda: self.index_files("obsidian", c.vaults, "system", force)
+        if c.mail_path:
+            jobs["email"] = lambda: self.index_mail(force=force)
+        if c.feed_path:
+            jobs["rss"] = lambda: self.index_feeds(force=force)
+        if c.book_libraries:
+            jobs["calibre"] = lambda: self.index_books(force=force)
+        jobs |= {n: lambda n=n: self.index_code(n, c.repositories[n], force=force) for n in sorted(c.repositories)}
+        jobs |= {n: lambda n=n: self.index_files(n, c.projects[n], "project", force) for n in sorted(c.projects)}
+        out = {}
+        for name, job in jobs.items():
+            if not c.enabled(name):
+                continue
+            try:
+                if name in ("obsidian", *c.repositories, *c.projects):
+                    self.prune(name)
+                out[name] = job()
+            except Exception as e:
+                out[name] = {"indexed": 0, "skipped": 0, "errors": 1, "total_found": 0, "message": str(e)[:300]}
+        return out
+
     def delete_collection(self, name: str) -> None:
         self.commit(catalog.delete_collection(self.store(), name))

@@ -148,6 +148,32 @@ def test_engine_indexes_mail_and_books(spark, tmp_path):
     book = e.search_results("maps", top_k=1, filters=SearchFilters(author="authors5"))[0]
     assert book["title"] == "Maps (description)" and book["metadata"]["identifiers"] == {"isbn": "new"} and book["metadata"]["calibre_id"] == 1
     assert e.search_results("lantern", top_k=1, filters=SearchFilters(collection="email"))[0]["source_path"] == "email://<m1>"
+    e.config.mail_path = str(tmp_path)
+    con = sqlite3.connect(tmp_path / "mail_index.dat")
+    con.executescript("DELETE FROM MailItems WHERE id = 2")
+    con.close()
+    assert e.prune("email") == {"checked": 2, "pruned": 1}
+    e.config.mail_path = str(tmp_path / "missing")
+    assert e.prune("email") == {"checked": 0, "pruned": 0}  # unreadable is not empty
+    e.set_collection_paths("email", ["/p"])
+    assert e.collection_paths("email") == ["/p"] and e.rewrite_paths("email", "email://", "mail://") == 1 and e.export("email")[0]["source_path"] == "mail://<m1>"
+    with pytest.raises(KeyError):
+        e.collection_paths("none")
+
+
+def test_index_all_goes_on_after_errors(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.txt").write_text("some words")
+    e = Engine(spark, Config(db_path=str(tmp_path / "store"), embedding_dimensions=64, projects={"proj": [str(tmp_path / "p")]}, repositories={"repo": [str(tmp_path / "none")]}))
+    got = e.index_all()
+    assert got["repo"]["errors"] == 1 and got["proj"]["indexed"] == 1
+
+
+def test_config_paths():
+    c = Config(vaults=["/a"], projects={"p": ["/x"]})
+    assert c.add_paths("obsidian", ["/b", "/a"]) == ["/a", "/b"] and c.remove_paths("p", ["/x"]) == [] and c.update_path("obsidian", "/a", "/z") == ["/z", "/b"] == c.list_paths("obsidian")
+    with pytest.raises(KeyError):
+        c.list_paths("none")
 
 
 def test_config(tmp_path):
