@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +66,9 @@ def vector_parity(vectors: DataFrame, bits: DataFrame, dim: int = 64) -> DataFra
     """(vec_rowid, state): bits that are missing or differ from the vector's signs."""
     from lectern.operators.vector import signature
 
-    @F.udf("array<bigint>")
-    def unpack(raw):
-        if raw is None:
-            return None
-        return [int.from_bytes(raw[i : i + 8], "little", signed=True) for i in range(0, len(raw), 8)]
+    @F.pandas_udf("array<bigint>")
+    def unpack(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 8 * 8], "<i8").tolist())
 
     clean = vectors.select("vec_rowid", F.transform("embedding", lambda x: F.when(~F.isnan(x), x).otherwise(F.lit(0.0))).alias("v"))
     mine = clean.select("vec_rowid", F.array(*signature("v", dim)).alias("want")).where("want[0] is not null")

@@ -115,7 +115,13 @@ def orphan_vectors(spark, sf):
     return catalog.orphans(store(spark, sf)).select("vec_rowid")
 
 
-@register("vector_parity")
+@register(
+    "vector_parity",
+    """SELECT v.vec_rowid, CASE WHEN b.embedding IS NULL THEN 'missing' ELSE 'stale' END AS state FROM (
+       SELECT vec_rowid, array_to_string(list_transform(range(0, 8), lambda k: printf('%02X', CAST(list_sum(list_transform(range(0, 8), lambda i:
+         CASE WHEN embedding[k * 8 + i + 1] > 0 AND NOT isnan(embedding[k * 8 + i + 1]) THEN 1 << i::INT ELSE 0 END)) AS INT))), '') AS h
+       FROM vec_documents WHERE len(embedding) = 64) v LEFT JOIN vec_documents_bin b ON b.vec_rowid = v.vec_rowid WHERE b.embedding IS NULL OR hex(b.embedding) <> v.h""",
+)
 def vector_parity(spark, sf):
     return catalog.vector_parity(table(spark, sf, "vec_documents"), table(spark, sf, "vec_documents_bin"))
 

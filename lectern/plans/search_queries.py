@@ -147,10 +147,20 @@ def hybrid_search(spark, sf):
     return hits.select("doc_id", F.round("score", 9).alias("score"), "title", "collection_name", "source_path", "source_type")
 
 
-@register("hybrid_search_filtered")
+_LISTS = "AND contains(lower(json_extract_string(CASE WHEN d.metadata = '' THEN NULL ELSE d.metadata END, '$.folder')), 'list')"
+_SYSTEM = _SYS + " AND s.source_type = 'email' " + _LISTS
+_HYBRID_FILTERED = f"""WITH v AS (SELECT p.document_id AS doc_id, row_number() OVER (ORDER BY {_L2}, document_id, vec_rowid) AS pos FROM ({_POOL.format(pool=1000)}) p {_FILTERED} {_LISTS}),
+ t AS (SELECT f.doc_id, row_number() OVER (ORDER BY f.rank, f.doc_id) AS pos FROM ({_bm25_sql(["telescope"], 500)}) f {_SYSTEM}),
+ u AS (SELECT doc_id, 0.7e0 / (60 + pos) AS s FROM v WHERE pos <= 10 UNION ALL SELECT doc_id, 0.3e0 / (60 + pos) FROM t WHERE pos <= 10),
+ m AS (SELECT doc_id, sum(s) AS score FROM u GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 10)
+SELECT m.doc_id, round(m.score, 9) AS score, printf('%.4f', m.score) AS score_text, d.title, s.source_path FROM m JOIN documents d ON d.doc_id = m.doc_id JOIN sources s ON s.id = d.source_id"""
+
+
+@register("hybrid_search_filtered", _HYBRID_FILTERED)
 def hybrid_search_filtered(spark, sf):
     f = SearchFilters(collection="system", source_type="email", metadata={"folder": "list"})
-    return engine(spark, sf).search("telescope", query_vector(spark, sf), TOP, f).withColumn("score_text", score_text(F.col("score"))).withColumn("snippet", snippet(F.col("content")))
+    hits = engine(spark, sf).search("telescope", query_vector(spark, sf), TOP, f)
+    return hits.select("doc_id", F.round("score", 9).alias("score"), score_text(F.col("score")).alias("score_text"), "title", "source_path")
 
 
 @register(
