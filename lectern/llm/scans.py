@@ -12,15 +12,15 @@ a fault unless the corpus writes the word with it.
 Defined cases: null and blank pages have no line; rows without page or book are left out, a missing page number has no continuation; nulls in ``ocr`` and wrong values
 don't matter, it is not consulted; repeated page numbers of a book are taken as
 they come, the least page_id giving the continuation; a book of any length is
-spread over tasks; every recurring key of it counts, and the KEYS most frequent ones are also
-matched where a head is misread.
+spread over tasks; every recurring key of it counts, and all of them are also
+matched where a head is misread, by a join on pieces of the keys.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,6 @@ COMMON = 50_000
 CONTEXTS = 512
 DIM = 16
 WINDOW = 3
-KEYS = 64
 
 # Characters that scanners take for one another, misread to true.
 CLASSES = ("ec", "nu", "tfſ", "hb", "li1!I|", "o0", "a@", "s5", "vy", "gq", "B8")
@@ -135,13 +134,55 @@ def _alike(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def furniture(text: str, keys: list[str]) -> list[int]:
-    """Lines of the page that are running heads, feet or page numbers."""
+def _pieces(size: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a key of that size: one more than the most edits ``_alike`` allows it."""
+    count = (size + 2) // 5 + 1
+    ends = [size * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def key_pieces(key: str) -> list[str]:
+    """What a key is looked up by: fewer edits than pieces leave one of them whole."""
+    if len(key) < 6:
+        return []
+    return [f"{len(key)} {k} {key[a : a + n]}" for k, (a, n) in enumerate(_pieces(len(key)))]
+
+
+def key_probes(key: str) -> list[str]:
+    """The pieces of every key that is ``_alike``: left of a whole piece lie as many edits as it is shifted by
+    at least, right of it as many as are left of the difference in length."""
+    out: set[str] = set()
+    for size in range(max(6, len(key) - 2), len(key) + 3) if len(key) >= 6 else ():
+        most, longer = max(size, len(key)) // 5, len(key) - size
+        for k, (a, n) in enumerate(_pieces(size)):
+            for shift in range(-most, most + 1):
+                if abs(shift) + abs(longer - shift) <= most and 0 <= a + shift <= len(key) - n:
+                    out.add(f"{size} {k} {key[a + shift : a + shift + n]}")
+    return sorted(out)
+
+
+class _Asked(set):
+    """Takes down the keys that are looked up in it, and has none of them."""
+
+    def __contains__(self, key) -> bool:
+        self.add(key)
+        return False
+
+
+def asked_keys(text: str) -> set[str]:
+    """Keys of the lines for which it matters whether their key recurs; at most one at each edge."""
+    asked = _Asked()
+    furniture(text, asked)
+    return {k for k in asked if len(k) > 3}
+
+
+def furniture(text: str, keys: Collection[str]) -> list[int]:
+    """Lines of the page that are running heads, feet or page numbers; ``keys``: those known to recur, also misread."""
     lines = text.split("\n")
     rows = _filled(lines)
     if not rows:
         return []
-    known = lambda line: (k := head_key(line)) and _running(line) and any(_alike(k, x) for x in keys)
+    known = lambda line: _running(line) and head_key(line) in keys
     out: list[int] = []
     top = rows[0]
     if not opening(lines, rows):
@@ -209,29 +250,43 @@ class Scans:
                 yield pd.DataFrame([(b, k, n) for (b, k), n in seen.items()], columns=["source_id", "key", "n"])
 
         counts = pages.select("source_id", "text").mapInPandas(edge_keys, "source_id long, key string, n long").groupBy("source_id", "key").agg(F.sum("n").alias("n"))
-        order = Window.partitionBy("source_id").orderBy(F.desc("n"), "key")
-        keys = counts.where("n >= 2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= KEYS)
-        keys = keys.groupBy("source_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        recurring = materialize(counts.where("n >= 2").select("source_id", "key"), "scan-edges")
+
+        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = [(p, b, k) for p, b, text in frame[["page_id", "source_id", "text"]].itertuples(index=False) for k in asked_keys(text)]
+                yield pd.DataFrame(out, columns=["page_id", "source_id", "key"])
+
+        @F.pandas_udf("array<string>")
+        def pieces(keys: pd.Series) -> pd.Series:
+            return keys.map(key_pieces)
 
         @F.pandas_udf("array<string>")
-        def own_keys(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: sorted({k for k, _ in page_keys(t)}))
+        def probes(keys: pd.Series) -> pd.Series:
+            return keys.map(key_probes)
+
+        @F.pandas_udf("boolean")
+        def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([_alike(x, y) for x, y in zip(a, b)], dtype="bool")
 
-        # a page's own keys are looked up among all keys of its book; only misread ones need the KEYS most frequent
-        mine = pages.select("page_id", "source_id", F.explode(own_keys("text")).alias("key"))
-        exact = mine.join(counts.where("n >= 2").select("source_id", "key"), ["source_id", "key"]).groupBy("page_id").agg(F.collect_set("key").alias("exact"))
+        # a page's own keys are looked up among all keys of its book, those not found also for what they may be misread from
+        asked = materialize(pages.select("page_id", "source_id", "text").mapInPandas(ask, "page_id long, source_id long, key string"), "scan-asked")
+        odd = asked.select("source_id", "key").distinct().join(recurring, ["source_id", "key"], "left_anti")
+        true = recurring.select("source_id", F.col("key").alias("true"), F.explode(probes("key")).alias("piece"))
+        near = odd.select("source_id", "key", F.explode(pieces("key")).alias("piece")).join(true, ["source_id", "piece"]).select("source_id", "key", "true").distinct()
+        near = near.where(alike("key", "true")).select("source_id", "key").distinct()
+        known_keys = asked.join(recurring.unionByName(near), ["source_id", "key"], "left_semi").groupBy("page_id").agg(F.collect_set("key").alias("known"))
 
         def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                known = [[*(k if k is not None else ()), *(x if x is not None else ())] for k, x in zip(frame["keys"], frame["exact"])]
-                gone = [furniture(t, k) for t, k in zip(frame["text"], known)]
+                gone = [furniture(t, set(k) if k is not None else set()) for t, k in zip(frame["text"], frame["known"])]
                 first = []
                 for t, g in zip(frame["text"], gone):
                     body = next((tokens for _, tokens in body_tokens(t, set(g))), None)
                     first.append(body[0] if body else None)
                 yield frame.assign(furniture=gone, first_token=first)[["page_id", "source_id", "page_number", "text", "furniture", "first_token"]]
 
-        marked = pages.join(keys, "source_id", "left").join(exact, "page_id", "left").mapInPandas(mark, "page_id long, source_id long, page_number int, text string, furniture array<int>, first_token string")
+        marked = pages.join(known_keys, "page_id", "left").mapInPandas(mark, "page_id long, source_id long, page_number int, text string, furniture array<int>, first_token string")
         marked = materialize(marked, "scan-pages")
         following = marked.groupBy("source_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min_by("first_token", "page_id").alias("goes_on"))
         self.pages = marked.join(following, ["source_id", "page_number"], "left").select("page_id", "source_id", "page_number", "text", "furniture", "goes_on")

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from lectern.llm.scans import Scans, canon, furniture, head_key, line_words, opening, page_breaks
+from lectern.llm.scans import Scans, _alike, canon, furniture, head_key, key_pieces, key_probes, line_words, opening, page_breaks
 
 BODY = "The librarians collected the letters in the morning and\nnobody borrowed the manuscript from the museum again."
 
@@ -67,5 +69,30 @@ def test_keys_and_parts():
     assert ("manuscript", 4) in [(w, c) for _, w, c, _ in line_words("a manu-\nscript", [], None)]
 
 
+def test_misread_head_of_a_book_with_many_heads(spark):
+    rng = random.Random(3)
+    heads = sorted("Of " + "".join(rng.choice("bdkmprtwz") for _ in range(14)) for _ in range(90))
+    texts = [f"{h}\n\n{BODY}" for h in heads for _ in range(2)]
+    texts.append(f"{heads[-1][:-1]}x\n\n{BODY}")  # its true key ranks last
+    got = Scans(frame(spark, [(i, 1, i + 1, t) for i, t in enumerate(texts)])).pages.collect()
+    assert len(got) == 181 and all(list(r.furniture) == [0] for r in got)
+
+
+def test_pieces_lead_to_every_key_that_is_alike():
+    rng = random.Random(4)
+    alike = 0
+    for _ in range(20_000):
+        a = [rng.choice("abcde") for _ in range(rng.randint(4, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5 + 1)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        a, b = "".join(a), "".join(b)
+        if a != b and _alike(a, b):
+            alike += 1
+            assert set(key_pieces(a)) & set(key_probes(b)), (a, b)
+    assert alike > 5_000
+
+
 def test_empty_table(spark):
     assert Scans(frame(spark, [])).faults().count() == 0
