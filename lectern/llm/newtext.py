@@ -6,14 +6,16 @@ marks) a generalised suffix automaton over words takes in the new lines of every
 mail in order; a later line that lies wholly in a match of ``LONG`` words or more
 is inherited, however it is wrapped. What recurs at the ends of mails all over the
 corpus (closings, signatures, device lines, notices, list footers) is counted over
-every mail and stripped, with the sender's own name.
+every mail and stripped, with the sender's own name; so is what recurs at the ends of
+one sender's own mails.
 
 A thread of more than ``THREAD`` mails is never gathered in a task: there the same
 matches come from a join on hashes of ``LONG`` words in a row.
 
 Defined cases: null and blank bodies have no line; line ends are CRLF, CR or LF,
 numbering counts LF; mails without subject form no thread; rows without id are left out; a repeated body under
-another id inherits nothing from its copy; null senders have no name to strip.
+another id inherits nothing from its copy and counts once for its sender's endings; null
+senders have no name to strip and no endings of their own.
 """
 
 from __future__ import annotations
@@ -27,9 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import materialize
+
 LONG = 16
 THREAD = 400
 RECURS = 0.0015
+OWN = 0.2
 LEAST = 4
 
 # Words of mail programs in the languages of the corpus.
@@ -186,15 +191,18 @@ def sender_names(sender: str | None) -> set[str]:
     return got
 
 
-def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurring: frozenset[str]) -> list[bool]:
-    """``old`` with the endings of the mail's own parts marked too."""
+def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurring: frozenset[str], own: frozenset[str] = frozenset()) -> list[bool]:
+    """``old`` with the endings of the mail's own parts marked too; ``own``: those recurring with its sender."""
     out, names = list(old), sender_names(sender)
 
+    def known(x: str) -> bool:
+        return x in recurring or x in own
+
     def ending(i: int) -> bool:
         s = lines[i].strip()
         if RULE.match(s) or CLOSING.match(s) or PHONE.match(s) or LINK.match(s) or len(s) < 70 and LIST_FOOTER.search(s) or s.casefold().rstrip(",") in names:
             return True
-        return canonical(s) in recurring and not LIST.match(lines[i])
+        return known(canonical(s)) and not LIST.match(lines[i])
 
     for a, b in segments(lines, old):
         end, gone, kept = b, [], False
@@ -207,7 +215,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
             if POSTSCRIPT.match(lines[top]):  # new text behind the signature
                 end, kept = top, True
                 continue
-            if "¶" + " ".join(x.strip() for x in lines[top:end]) in recurring:
+            if known("¶" + " ".join(x.strip() for x in lines[top:end])):
                 gone += range(top, end)
                 end = top
                 continue
@@ -221,7 +229,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
                     i = rule
                 else:
                     # the lower lines of a paragraph may be a known notice under the signature
-                    cut = next((k for k in range(top, i) if "¶" + " ".join(x.strip() for x in lines[k:i]) in recurring), None)
+                    cut = next((k for k in range(top, i) if known("¶" + " ".join(x.strip() for x in lines[k:i]))), None)
                     if cut is None:
                         break
                     i = cut
@@ -311,51 +319,64 @@ def _whole_lines(at: list[int], covered: list[bool]) -> set[int]:
 
 
 def _bodies(mails: DataFrame) -> DataFrame:
-    return mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
+    """The mails with a text; ``address``: that of the sender, else what stands for it."""
+    address = F.regexp_extract("sender", r"([^<>\s\"]+@[^<>\s\"]+)", 1)
+    bodies = mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
+    return bodies.withColumn("address", F.lower(F.when(address != "", address).otherwise(F.trim("sender"))))
 
 
-def recurring_endings(mails: DataFrame) -> frozenset[str]:
+def recurring_endings(mails: DataFrame) -> tuple[frozenset[str], DataFrame]:
     """Lines and paragraphs at the ends of mails that recur in at least RECURS of them, counted over all;
-    at most a few endings a mail can recur, so their number is bounded by that share."""
+    at most a few endings a mail can recur, so their number is bounded by that share. And per address those
+    that recur in at least OWN of its own different mails, (address, own), bounded in the same way."""
 
     def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             seen: Counter = Counter()
-            for body in frame["body"]:
+            for address, body in frame[["address", "body"]].itertuples(index=False):
                 lines = split_lines(body)
-                seen.update(ending_candidates(lines, mark_quotes(lines)))
-            yield pd.DataFrame({"ending": list(seen), "n": list(seen.values())}, columns=["ending", "n"]).astype({"n": "int64"})
+                same = xxhash.xxh3_64_intdigest(body) >> 1
+                for x in ending_candidates(lines, mark_quotes(lines)):
+                    if not GREETING.match(x):
+                        seen[(address, x, same)] += 1
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["address", "ending", "same", "n"]).astype({"same": "int64", "n": "int64"})
 
     bodies = _bodies(mails)
     total = bodies.count()
-    counts = bodies.select("body").mapInPandas(candidates, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n"))
-    least = max(LEAST, RECURS * total)
-    return frozenset(r["ending"] for r in counts.where(F.col("n") >= least).select("ending").collect() if not GREETING.match(r["ending"]))
+    counts = bodies.select("address", "body").mapInPandas(candidates, "address string, ending string, same long, n long")
+    counts = materialize(counts.groupBy("address", "ending", "same").agg(F.sum("n").alias("n")).groupBy("address", "ending").agg(F.sum("n").alias("n"), F.count("*").alias("mails")), "mail-endings")
+    everywhere = counts.groupBy("ending").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, RECURS * total)).select("ending")
+    sent = bodies.groupBy("address").agg(F.count_distinct(F.xxhash64("body")).alias("sent"))
+    often = counts.where((F.col("mails") >= LEAST) & F.col("address").isNotNull()).join(sent, "address").where(F.col("mails") >= OWN * F.col("sent"))
+    own = often.join(everywhere, "ending", "left_anti").groupBy("address").agg(F.collect_list("ending").alias("own"))
+    return frozenset(r["ending"] for r in everywhere.collect()), own
 
 
 def new_text(mails: DataFrame) -> DataFrame:
     """(mail_id, line_no, line): the lines newly written by the sender."""
     spark = mails.sparkSession
-    recurring = spark.sparkContext.broadcast(recurring_endings(mails))
+    everywhere, own = recurring_endings(mails)
+    recurring = spark.sparkContext.broadcast(everywhere)
 
     @F.pandas_udf("string")
     def threads(subjects: pd.Series) -> pd.Series:
         return subjects.map(thread_of)
 
-    keyed = _bodies(mails).withColumn("thread", threads("subject")).withColumn("thread", F.when(F.length("thread") > 0, F.col("thread")).otherwise(F.concat(F.lit("\u0000"), F.col("mail_id"))))
+    keyed = _bodies(mails).join(own, "address", "left").drop("address").withColumn("thread", threads("subject")).withColumn("thread", F.when(F.length("thread") > 0, F.col("thread")).otherwise(F.concat(F.lit("\u0000"), F.col("mail_id"))))
     sizes = keyed.groupBy("thread").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > THREAD).select("thread")  # joined, not collected: their number grows with the mails
     schema = "mail_id long, line_no int, line string"
 
-    def final(mail_id, sender, lines, old, inherited, out):
-        old = strip_endings(lines, [o or i in inherited for i, o in enumerate(old)], sender, recurring.value)
+    def final(mail_id, sender, own, lines, old, inherited, out):
+        own = frozenset(own) if own is not None else frozenset()
+        old = strip_endings(lines, [o or i in inherited for i, o in enumerate(old)], sender, recurring.value, own)
         for i in new_lines(lines, old):
             out.append((mail_id, i, lines[i]))
 
     def per_thread(frame: pd.DataFrame) -> pd.DataFrame:
         sam, seen, out = SuffixAutomaton(), {}, []
         many = len(frame) > 1
-        for mail_id, sender, body in frame.sort_values("mail_id")[["mail_id", "sender", "body"]].itertuples(index=False):
+        for mail_id, sender, own, body in frame.sort_values("mail_id")[["mail_id", "sender", "own", "body"]].itertuples(index=False):
             lines = split_lines(body)
             old = mark_quotes(lines)
             inherited: set[int] = set()
@@ -369,7 +390,7 @@ def new_text(mails: DataFrame) -> DataFrame:
                         inherited = _whole_lines(at, sam.covered(words, LONG))
                         sam.add(words)
                     seen[same] = inherited
-            final(mail_id, sender, lines, old, inherited, out)
+            final(mail_id, sender, own, lines, old, inherited, out)
         return pd.DataFrame(out, columns=["mail_id", "line_no", "line"])
 
     cold = keyed.join(hot, "thread", "left_anti").groupBy("thread").applyInPandas(per_thread, schema)
@@ -394,7 +415,7 @@ def new_text(mails: DataFrame) -> DataFrame:
     def per_mail(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list = []
-            for mail_id, sender, body, got in frame[["mail_id", "sender", "body", "known"]].itertuples(index=False):
+            for mail_id, sender, own, body, got in frame[["mail_id", "sender", "own", "body", "known"]].itertuples(index=False):
                 lines = split_lines(body)
                 old, inherited = mark_quotes(lines), set()
                 if got is not None and len(got):
@@ -404,7 +425,7 @@ def new_text(mails: DataFrame) -> DataFrame:
                         if xxhash.xxh3_64_intdigest(" ".join(words[k : k + LONG])) >> 1 in hashes:
                             cover[k : k + LONG] = [True] * LONG
                     inherited = _whole_lines(at, cover)
-                final(mail_id, sender, lines, old, inherited, out)
+                final(mail_id, sender, own, lines, old, inherited, out)
             yield pd.DataFrame(out, columns=["mail_id", "line_no", "line"])
 
     return cold.unionByName(hot_mails.join(known, "mail_id", "left").mapInPandas(per_mail, schema))

@@ -62,6 +62,15 @@ def test_inherited_text_whatever_the_wrapping(spark, monkeypatch):
     assert {(r.mail_id, r.line_no) for r in new_text(mails(spark, rows)).collect()} == want
 
 
+def test_endings_of_one_sender(spark):
+    words = ["maps", "boats", "letters", "lamps", "ropes", "nets", "sails", "clocks"]
+    signed = [(i, f"s{i}", "Ann Bell <ann@x.example>", f"The {w} have come.\n\nBest,\nAnn\nKeeper of the north tower\nHarbour Row, Old Quay", "t", "l", 1) for i, w in enumerate(words)]
+    copies = [(100 + i, f"c{i}", "Cy <cy@x.example>", "Hi,\n\nthe door was open", "t", "l", 1) for i in range(6)]
+    others = [(1000 + i, f"o{i}", f"P{i} <p{i}@x.example>", f"Nothing new about item no{i}x", "t", "l", 1) for i in range(6000)]
+    got = {(r.mail_id, r.line_no) for r in new_text(mails(spark, signed + copies + others)).where("mail_id < 1000").collect()}
+    assert got == {(i, 0) for i in range(8)} | {(100 + i, k) for i in range(6) for k in (0, 2)}
+
+
 def test_defined_cases(spark):
     rows = [(1, None, None, None, "t", "l", 1), (2, None, None, " \r\n ", "t", "l", 1), (3, None, None, "One.\r\nTwo.", "t", "l", 1), (None, "s", "x", "lost", "t", "l", 1), (5, "s", None, "word " * 200_000, "t", "l", 1)]
     assert {(r.mail_id, r.line_no, r.line[:4]) for r in new_text(mails(spark, rows)).collect()} == {(3, 0, "One."), (3, 1, "Two."), (5, 0, "word")}
