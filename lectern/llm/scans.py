@@ -406,15 +406,24 @@ class Scans:
         hyphened = self.keys.select(F.col("key").alias("hyphened"), F.col("n").alias("n_hyphened"))
         n_joined, n_hyphened = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_hyphened", F.lit(0))
         broken = F.col("sign").isin(list(SURE_BREAKS)) | F.when(n_joined != n_hyphened, n_joined > n_hyphened).otherwise(F.col("lower"))
-        cuts = breaks.join(joined, "joined", "left").join(hyphened, "hyphened", "left").where(broken).groupBy("page_id").agg(F.collect_set("line_no").alias("cuts"))
-        whole = self.pages.join(fixes, "page_id", "left").join(cuts, "page_id", "left")
+        cut_lines = breaks.join(joined, "joined", "left").join(hyphened, "hyphened", "left").where(broken).select("page_id", "line_no").distinct()
+        cuts = cut_lines.groupBy("page_id").agg(F.collect_set("line_no").alias("cuts"))
+        # corrections of broken words: for the line that begins them, and over a page's end for the next page too
+        halved = words.where("cut > 0").join(self.misread.where("right is not null"), "word").join(cut_lines, ["page_id", "line_no"])
+        halved = materialize(halved.select("page_id", "line_no", "next_line", F.struct("word", "cut", "right").alias("fix")), "scan-halved")
+        ends = halved.groupBy("page_id", "line_no").agg(F.min("fix").alias("fix")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "fix"))).alias("ends"))
+        numbers = self.pages.select("page_id", "source_id", "page_number").where("page_number is not null")
+        # where page numbers repeat, the least page_id gives and takes, as with paragraphs
+        giving = halved.where("next_line < 0").join(numbers, "page_id").groupBy("source_id", (F.col("page_number") + 1).alias("page_number")).agg(F.min_by("fix", "page_id").alias("begins"))
+        begins = numbers.groupBy("source_id", "page_number").agg(F.min("page_id").alias("page_id")).join(giving, ["source_id", "page_number"]).select("page_id", "begins")
+        whole = self.pages.join(fixes, "page_id", "left").join(cuts, "page_id", "left").join(ends, "page_id", "left").join(begins, "page_id", "left")
 
         def flow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 out = []
                 for r in frame.itertuples(index=False):
                     cut = set(map(int, r.cuts)) if r.cuts is not None else set()
-                    parts, glue = reflow(r.text, set(map(int, r.furniture)), cut, dict(r.fixes) if r.fixes is not None else {})
+                    parts, glue = reflow(r.text, set(map(int, r.furniture)), cut, dict(r.fixes) if r.fixes is not None else {}, dict(r.ends) if r.ends is not None else {}, r.begins)
                     for k, p in enumerate(parts):
                         # None: the paragraph ends here; else what parts it from the next page's beginning
                         tail = glue if k == len(parts) - 1 and not p.rstrip("\"'”»“)").endswith((".", "!", "?", "…", ":")) else None
@@ -470,7 +479,7 @@ def line_words(text: str, gone, goes_on: str | None) -> list[tuple[int, str, int
             a, b = halves[i]
             then = body[k + 1][0] if k + 1 < len(body) else -1
             head, tail = words_of(a), words_of(_clean_tail(b))
-            lead, rest = PARTS.split(a)[-1], PARTS.split(_clean_tail(b))[0]
+            lead, rest = PARTS.split(a)[-1].lstrip(EDGE), PARTS.split(_clean_tail(b))[0]
             if lead and rest:
                 out += [(i, w, len(lead), then) for w in words_of(lead + rest)]
             out += [(i, w, 0, -1) for w in head[:-1]] + ([(then, w, 0, -1) for w in tail[1:]] if then >= 0 else [])
@@ -512,10 +521,20 @@ def page_breaks(text: str, gone, goes_on: str | None) -> list[tuple[int, str, st
     return out
 
 
-def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str]) -> tuple[list[str], str]:
-    """Paragraphs of a page, parted by blank or indented lines, and what parts the last from what follows."""
+def _mended(fix) -> tuple[str, str, str, str]:
+    """The halves of a broken word, and of what it is corrected to."""
+    word, cut, right = fix["word"], int(fix["cut"]), fix["right"]
+    at = cut if right[:cut] == word[:cut] else min(max(cut + len(right) - len(word), 0), len(right))
+    return word[:cut], word[cut:], right[:at], right[at:]
+
+
+def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str], ends: dict | None = None, begins=None) -> tuple[list[str], str]:
+    """Paragraphs of a page, parted by blank or indented lines, and what parts the last from what follows.
+    ``fixes`` are corrections of whole words, ``ends`` those of words broken at the end of a line, ``begins``
+    that of a word broken at the end of the page before, each with word, length of the first half, and right."""
     paragraphs: list[str] = []
     glue, new = "", True
+    ends = ends or {}
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if i in gone:
@@ -524,14 +543,29 @@ def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str]) ->
             new = True
             continue
         tokens = TOKEN.findall(line)
+        ending = ends.get(i) if i in cuts else None
         shown = []
-        for t in tokens:
+        for n, t in enumerate(tokens):
             parts = re.split(r"([-'’])", t)
+            done = set()  # halves of corrected words are not looked up as words of their own
+            if n == 0 and begins:
+                _, half, _, good = _mended(begins)
+                if parts[0].startswith(half):
+                    parts[0] = good + parts[0][len(half) :]
+                    done.add(0)
+            if n == len(tokens) - 1 and ending:
+                half, _, good, _ = _mended(ending)
+                k, sign = (len(parts) - 3, "") if t.endswith("-") else (len(parts) - 1, t[-1])
+                core = parts[k].removesuffix(sign)
+                if core.endswith(half):
+                    parts[k] = core.removesuffix(half) + good + sign
+                    done.add(k)
             for k in range(0, len(parts), 2):
                 core = parts[k].strip(EDGE)
-                if core in fixes:
+                if k not in done and core in fixes:
                     parts[k] = parts[k].replace(core, fixes[core])
             shown.append("".join(parts))
+        begins = ending
         joined = " ".join(shown)
         if i in cuts:
             joined = joined.rstrip()[:-1]

@@ -60,6 +60,13 @@ def test_paragraphs_over_pages(spark):
     assert got == {(1, 0): "One goes over the page. It ends.", (2, 1): "Two is broken here.", (3, 1): "Three stays.", (4, 0): "Other book and"}
 
 
+def test_broken_words_are_corrected(spark):
+    pages = ["Ann took the mus-\ncum and the lct-\nters. There was a manu¬", "scr1pt here.\n\nThe librar-\n1ans", "left."]
+    rows = [(i, 1, i + 1, t) for i, t in enumerate(pages)] + [(100 + i, 20 + i, 1, BODY) for i in range(30)]
+    got = [r.paragraph for r in sorted(Scans(frame(spark, rows)).repaired().where("source_id = 1").collect())]
+    assert " ".join(got) == "Ann took the museum and the letters. There was a manuscript here. The librarians left."
+
+
 def test_keys_and_parts():
     assert canon("tlie") != canon("the") and canon("rnorning") == canon("morning") and canon("c1osed") == canon("closed") and canon("bIieb") == canon("blieb")
     assert head_key("9 2   T O O L S") == head_key("92 tools") and head_key("12   NOTES") == head_key("Notes    7")
