@@ -58,6 +58,7 @@ CLOSING = re.compile(
     r"(?:un )?saludos?(?: cordial(?:es)?)?|gracias(?: y saludos)?|atentamente|un abrazo|cordialmente)\s*[,.!]?\s*$",
     re.I,
 )
+SIGNATURE = re.compile(r"^-- $")
 POSTSCRIPT = re.compile(r"^\s*(?:P\.? ?(?:P\.? ?)?S\.?|N\.?B\.?|PD|P\.D\.)\s*[:.,-]?\s", re.I)
 NAME = re.compile(r"^\s*[^\W\d_a-z][\w'’-]*\.?(?:\s+[^\W\d_a-z][\w'’.-]*){0,2}\s*,?\s*$")
 GREETING = re.compile(r"^¶?(?:hi|hello|hey|dear|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|salut|bonjour|bonsoir|cher|chère|hola|buen[oa]s|estimad[oa]s?|querid[oa]s?)\b", re.I)
@@ -143,6 +144,20 @@ def canonical(line: str) -> str:
     return re.sub(r"\d+", "9", s)
 
 
+def _hashed(key: str) -> str:
+    """The key, or its hash where it is long, so that texts of any length can be counted."""
+    return key if len(key) <= 400 or GREETING.match(key) else f"{key[0]}#{xxhash.xxh3_128_hexdigest(key)}"
+
+
+def line_key(line: str) -> str:
+    return _hashed(canonical(line))
+
+
+def paragraph_key(lines: list[str]) -> str:
+    """The words of a paragraph, however it is wrapped."""
+    return _hashed("¶" + " ".join(w for x in lines for w in x.split()))
+
+
 def _paragraph(lines: list[str], a: int, end: int) -> int:
     """First line of the paragraph that ends before ``end``, not above ``a``."""
     i = end
@@ -152,7 +167,8 @@ def _paragraph(lines: list[str], a: int, end: int) -> int:
 
 
 def ending_candidates(lines: list[str], old: list[bool]) -> set[str]:
-    """What could recur: short last lines, and whole last paragraphs, of the mail's own parts."""
+    """What could recur: last lines, whole last paragraphs, and what stands under a closing formula or rule in
+    them, of the mail's own parts."""
     got: set[str] = set()
     for a, b in segments(lines, old):
         end, paragraphs = b, 0
@@ -162,12 +178,13 @@ def ending_candidates(lines: list[str], old: list[bool]) -> set[str]:
             if end <= a:
                 break
             top, i = _paragraph(lines, a, end), end
-            if end - top <= 6:
-                got.add("¶" + " ".join(x.strip() for x in lines[top:end]))
+            got.add(paragraph_key(lines[top:end]))
+            under = next((k for k in range(end - 1, top, -1) if CLOSING.match(lines[k - 1]) or RULE.match(lines[k - 1])), None)
+            if under is not None:
+                got.add(paragraph_key(lines[under:end]))
             # line by line, as long as they don't read as sentences
             while i > top and not LIST.match(lines[i - 1]) and not (lines[i - 1].rstrip().endswith((".", "!", "?")) and len(lines[i - 1]) > 3):
-                if len(lines[i - 1]) <= 60:
-                    got.add(canonical(lines[i - 1]))
+                got.add(line_key(lines[i - 1]))
                 i -= 1
             # a notice may stand right below other ending lines
             if i > top and i < end:
@@ -202,9 +219,20 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
         s = lines[i].strip()
         if RULE.match(s) or CLOSING.match(s) or PHONE.match(s) or LINK.match(s) or len(s) < 70 and LIST_FOOTER.search(s) or s.casefold().rstrip(",") in names:
             return True
-        return known(canonical(s)) and not LIST.match(lines[i])
+        return known(line_key(s)) and not LIST.match(lines[i])
 
+    parts = []
     for a, b in segments(lines, old):
+        rule = next((k for k in range(a, b) if SIGNATURE.match(lines[k])), None)
+        if rule is None:
+            parts.append((a, b))
+            continue
+        # all below the rule is signature, up to a postscript that begins a paragraph
+        after = next((k for k in range(rule + 1, b) if POSTSCRIPT.match(lines[k]) and not lines[k - 1].strip()), b)
+        for k in range(rule, after):
+            out[k] = True
+        parts += [(a, rule), (after, b)]
+    for a, b in parts:
         end, gone, kept = b, [], False
         while end > a:
             while end > a and not lines[end - 1].strip():
@@ -215,7 +243,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
             if POSTSCRIPT.match(lines[top]):  # new text behind the signature
                 end, kept = top, True
                 continue
-            if known("¶" + " ".join(x.strip() for x in lines[top:end])):
+            if known(paragraph_key(lines[top:end])):
                 gone += range(top, end)
                 end = top
                 continue
@@ -229,7 +257,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
                     i = rule
                 else:
                     # the lower lines of a paragraph may be a known notice under the signature
-                    cut = next((k for k in range(top, i) if known("¶" + " ".join(x.strip() for x in lines[k:i]))), None)
+                    cut = next((k for k in range(top, i) if known(paragraph_key(lines[k:i]))), None)
                     if cut is None:
                         break
                     i = cut

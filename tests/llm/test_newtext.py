@@ -71,6 +71,23 @@ def test_endings_of_one_sender(spark):
     assert got == {(i, 0) for i in range(8)} | {(100 + i, k) for i in range(6) for k in (0, 2)}
 
 
+def test_long_notices_recur_however_wrapped(spark):
+    words = ["maps", "boats", "letters", "lamps", "ropes", "nets", "sails", "clocks"]
+    notice = " ".join(f"This message and clause {c} of it are meant for nobody else." for c in "abcdefghijkl").split()
+    rows = []
+    for i, w in enumerate(words):
+        wide = 8 + i % 2
+        lines = [" ".join(notice[k : k + wide]) for k in range(0, len(notice), wide)]
+        assert len(lines) > 6
+        rows.append((i, f"s{i}", f"P{i} <p{i}@x.example>", f"The {w} have come.\n\nBest,\nHarbour Row Ltd.\n\n" + "\n".join(lines), "t", "l", 1))
+    assert {(r.mail_id, r.line_no) for r in new_text(mails(spark, rows)).collect()} == {(i, 0) for i in range(8)}
+
+
+def test_all_below_a_signature_rule():
+    below = "\n".join(f"Line {c} of a long signature that says this and that of her." for c in "abcdefghij")
+    assert kept(f"Text.\n\nThanks,\nAnn\n\n-- \n{below}\n\nOne more. And one more.\n\nP.S. New text.\n\n> old") == ["Text.", "P.S. New text."]
+
+
 def test_defined_cases(spark):
     rows = [(1, None, None, None, "t", "l", 1), (2, None, None, " \r\n ", "t", "l", 1), (3, None, None, "One.\r\nTwo.", "t", "l", 1), (None, "s", "x", "lost", "t", "l", 1), (5, "s", None, "word " * 200_000, "t", "l", 1)]
     assert {(r.mail_id, r.line_no, r.line[:4]) for r in new_text(mails(spark, rows)).collect()} == {(3, 0, "One."), (3, 1, "Two."), (5, 0, "word")}
