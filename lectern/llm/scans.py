@@ -310,7 +310,9 @@ class Scans:
         self.words = materialize(counted, "scan-words")
         self.keys = self.words.groupBy("key").agg(F.sum("n").alias("n"))
         most = self.words.orderBy(F.desc("n"), "word")
-        contexts = {r["word"]: i for i, r in enumerate(most.limit(CONTEXTS).select("word").collect())}
+        # vectors are of case-folded words: a misread word is compared with every form of the true one, not with that at a sentence's start
+        often = self.words.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
+        contexts = {r["word"]: i for i, r in enumerate(often.limit(CONTEXTS).select("word").collect())}
         signs = np.where(np.random.default_rng(5).random((len(contexts), DIM)) < 0.5, -1.0, 1.0)
 
         def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,7 +320,7 @@ class Scans:
                 names: dict[str, int] = {}
                 at, ctx = [], []
                 for text, gone, goes_on in frame[["text", "furniture", "goes_on"]].itertuples(index=False):
-                    words = page_words(text, gone, goes_on)
+                    words = [w.lower() for w in page_words(text, gone, goes_on)]
                     ids = [contexts.get(w, -1) for w in words]
                     for i, w in enumerate(words):
                         me = names.setdefault(w, len(names))
@@ -347,7 +349,7 @@ class Scans:
         linked = rare.join(lead, "key").where((F.lower("word") != F.lower("right")) | F.col("word").rlike("[a-zà-ÿ][A-Z]"))
         linked = linked.where((F.col("word") != F.col("right")) & (F.col("n") * F.when(F.col("word").rlike(SHAPE), 1.5).when(F.length("word") <= 3, 30).otherwise(12) <= F.col("right_n")) & (F.col("right_n") >= 5))
         cos = _cosine(F.col("a.v"), F.col("b.v"))
-        judged = linked.alias("l").join(vectors.alias("a"), F.col("l.word") == F.col("a.word"), "left").join(vectors.alias("b"), F.col("l.right") == F.col("b.word"), "left").select("l.*", cos.alias("cos"))
+        judged = linked.alias("l").join(vectors.alias("a"), F.lower("l.word") == F.col("a.word"), "left").join(vectors.alias("b"), F.lower("l.right") == F.col("b.word"), "left").select("l.*", cos.alias("cos"))
         # too few contexts to judge by: the frequencies decide alone
         sure = judged.where((F.col("n") < 4) | F.col("cos").isNull() | (F.col("cos") >= 0.2) | F.col("word").rlike(SHAPE))
         best = sure.groupBy("word").agg(F.max_by("right", F.struct(F.col("right_n") * (1.1 + F.coalesce("cos", F.lit(0.0))), "right")).alias("right"))

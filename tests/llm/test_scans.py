@@ -67,6 +67,22 @@ def test_broken_words_are_corrected(spark):
     assert " ".join(got) == "Ann took the museum and the letters. There was a manuscript here. The librarians left."
 
 
+def test_vectors_are_of_all_forms_of_a_word(spark):
+    inside = "In the old harbour {} mended the nets and the ropes."
+    texts = ["Nobody paints every lamp, every door.\n" + inside.format("nobody") + "\nAll was well."] * 60 + ["Nobody paints every lamp, every door.\nAll was well."] * 10
+    texts += [inside.format("uobody") + "\nAll was well."] * 5
+    got = Scans(frame(spark, [(i, i, 1, t) for i, t in enumerate(texts)])).misread.collect()
+    assert [r.word for r in got] == ["uobody"]
+
+
+def test_vectors_are_of_all_forms_of_a_word(spark):
+    inside = "In the old harbour {} mended the nets again."
+    texts = ["Nobody paints every lamp, every door.\n" + inside.format("nobody") + "\nAll was well."] * 60 + ["Nobody paints every lamp, every door.\nAll was well."] * 10
+    texts += [inside.format("uobody") + "\nAll was well."] * 5
+    got = Scans(frame(spark, [(i, i, 1, t) for i, t in enumerate(texts)])).misread.collect()
+    assert [r.word for r in got] == ["uobody"]
+
+
 def test_keys_and_parts():
     assert canon("tlie") != canon("the") and canon("rnorning") == canon("morning") and canon("c1osed") == canon("closed") and canon("bIieb") == canon("blieb")
     assert head_key("9 2   T O O L S") == head_key("92 tools") and head_key("12   NOTES") == head_key("Notes    7")
