@@ -1,29 +1,35 @@
 """The lines of a mail that its sender wrote for it.
 
-Per mail, quote marks, wrapped tails of quoted lines, attributions and header
-blocks are read from the lines themselves. Per thread (the subject without reply
-marks) a generalised suffix automaton over words takes in the new lines of every
-mail in order; a later line that lies wholly in a match of ``LONG`` words or more
-is inherited, however it is wrapped. What recurs at the ends of mails all over the
-corpus (closings, signatures, device lines, notices, list footers) is counted over
-every mail and stripped, with the sender's own name; so is what recurs at the ends of
-one sender's own mails.
-
-A thread of more than ``THREAD`` mails is never gathered in a task: there the same
-matches come from a join on hashes of ``LONG`` words in a row.
+Per thread (the subject without reply marks) a generalised suffix automaton over
+words takes in the whole bodies of its mails in order, quote marks stripped. What a
+later mail has in common with an earlier one in ``LONG`` words or more is inherited,
+however it is wrapped or marked; patterns (quote marks, wrapped tails, attributions,
+header blocks) find what introduces it, and quotes of mails that are not at hand.
+
+Then endings go that recur: with one sender, in ``LEAST`` of its different mails and
+at the rate ``OWN``; with everybody, if ``SENDERS`` different senders have them, in
+``SURE`` of their mails below a closing formula, name or rule, as paragraphs without sentence, or as
+last ones of ``SENTENCE`` words or more, or if they recur with two senders. No
+threshold is a share of the corpus, so more mails never bring an ending back.
+
+Every thread is cut into segments of about ``SEGMENT`` mails by a hash of the id. A
+segment has one automaton; what its mails inherit from other segments of the thread
+comes from a join on hashes of ``LONG`` words in a row, which finds the same matches.
+The result does not depend on ``SEGMENT``.
 
 Defined cases: null and blank bodies have no line; line ends are CRLF, CR or LF,
-numbering counts LF; mails without subject form no thread; rows without id are left out; a repeated body under
-another id inherits nothing from its copy and counts once for its sender's endings; null
-senders have no name to strip and no endings of their own.
+numbering counts LF; mails without subject form no thread; rows without id are left
+out; copies of a body in a thread are read once, inherit nothing from one another,
+count once for their sender's endings, and have the lines of the copy with the least
+id; null senders have no name to strip and no endings of their own.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,18 +38,21 @@ from pyspark.sql import functions as F
 from lectern.session import materialize
 
 LONG = 16
-THREAD = 400
-RECURS = 0.0015
+SEGMENT = 400
 OWN = 0.2
-LEAST = 4
+LEAST = 3
+SENDERS = 4
+SENTENCE = 6
+SURE = 0.75
 
 # Words of mail programs in the languages of the corpus.
-REPLY = re.compile(r"^(?:\s*(?:re|fwd?|aw|wg|sv|vs|tr|rv|antw|ref|réf|i|r)\s*(?:\[\d+\])?\s*:)+\s*", re.I)
+REPLY = r"(?iu)^(?:\s*(?:re|fwd?|aw|wg|sv|vs|tr|rv|antw|ref|réf|i|r)\s*(?:\[\d+\])?\s*:)+\s*"
 HEADER = re.compile(r"^\s*\*?(?:From|Sent|To|Subject|Date|Cc|Bcc|Reply-To|Von|Gesendet|An|Betreff|Datum|De|Envoyé|À|Objet|Date|Enviado el|Enviado|Para|Asunto|Fecha|Da|Inviato|A|Oggetto)\s?:\*?\s", re.I)
 HEADER_FIRST = re.compile(r"^\s*\*?(?:From|Von|De|Da|Date|Datum|Sent|Subject|Betreff|Objet|Asunto)\s?:", re.I)
 SEPARATOR = re.compile(r"^\s*(?:-{2,}\s*[^\W\d_][^-]*-{2,}|_{10,}|-{10,}|={10,}|Begin forwarded message:|Anfang der weitergeleiteten Nachricht:|Début du message réexpédié :|Début du message transféré :|Inicio del mensaje reenviado:)\s*$")
 QUOTE = re.compile(r"^[ \t]{0,3}(?:[>|»]|[A-ZÄÖÜ]{1,4}>)[>|» \tA-Z]*")
 QUOTED = re.compile(r"^[ \t]{0,3}(?:[>|»]|[A-ZÄÖÜ]{1,4}>)")
+MARKS = re.compile(r"^[ \t]{0,3}(?:[A-ZÄÖÜ]{0,4}[>|»][ \t]?)+")
 ATTRIBUTION = re.compile(
     r"(?:^\s*(?:On|Am|Le|El|Il|Op|Quoting|Zitat von|En|Citando a)\b.*|.*(?:<[^<>\s]+@[^<>\s]+>|\b(?:wrote|schrieb|écrit|escribió|writes|ha scritto)\b|\d{4}[-./]\d{1,2}[-./]\d{1,2}).*):\s*$", re.I | re.S
 )
@@ -64,28 +73,33 @@ NAME = re.compile(r"^\s*[^\W\d_a-z][\w'’-]*\.?(?:\s+[^\W\d_a-z][\w'’.-]*){0,
 GREETING = re.compile(r"^¶?(?:hi|hello|hey|dear|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|salut|bonjour|bonsoir|cher|chère|hola|buen[oa]s|estimad[oa]s?|querid[oa]s?)\b", re.I)
 LIST_FOOTER = re.compile(r"\b(?:mailing[- ]?list|mailingliste|liste de diffusion|lista de correo|unsubscribe|abbestellen)\b", re.I)
 LIST = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
+SENTENCE_END = re.compile(r"[.!?…][\"'”’»“)\]\s]*$")
+INITIALS = re.compile(r"^\s*(?:[^\W\d_a-zß-ÿ]\.\s*)+$")
 WORDS = re.compile(r"[\w'’@./:-]*\w")
 ENDS = (".", "!", "?", "…", "。", ":", ";", ",")
 
 
-def thread_of(subject: str | None) -> str:
-    return REPLY.sub("", subject or "").strip().casefold()
+def thread_of(subject) -> F.Column:
+    """Subject without reply marks, blank where there is none."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), REPLY, "")))
 
 
 def split_lines(body: str) -> list[str]:
     return [line.rstrip("\r") for line in body.split("\n")]
 
 
-def mark_quotes(lines: list[str]) -> list[bool]:
-    """Which lines are quoted, introduce a quote or belong to a header block."""
+def mark_quotes(lines: list[str], inherited: frozenset[int] | set[int] = frozenset()) -> list[bool]:
+    """Which lines are quoted, introduce a quote or belong to a header block; ``inherited``: those known to be old."""
     n = len(lines)
-    old = [bool(QUOTED.match(x)) for x in lines]
-    blank = [not x.strip() for x in lines]
-    quoted = list(old)
+    marked = [bool(QUOTED.match(x)) for x in lines]
+    old, blank = list(marked), [not x.strip() for x in lines]
     # wrapped tails: no blank line between them and the quoted line they go on from
     for i in range(1, n):
-        if not old[i] and not blank[i] and old[i - 1] and not (quoted[i - 1] and not QUOTE.sub("", lines[i - 1]).strip()):
+        if not old[i] and not blank[i] and old[i - 1] and not (marked[i - 1] and not QUOTE.sub("", lines[i - 1]).strip()):
             old[i] = True
+    quoted = list(marked)
+    for i in inherited:
+        old[i] = quoted[i] = True
     for i in range(n):
         if not quoted[i] or (i and quoted[i - 1]):
             continue
@@ -112,19 +126,15 @@ def mark_quotes(lines: list[str]) -> list[bool]:
         above = i - 1
         while above >= 0 and blank[above]:
             above -= 1
-        marked = above >= 0 and bool(SEPARATOR.match(lines[above]))
-        if run - i >= 2 or (marked and run < n):
-            start = above if marked else i
+        parted = above >= 0 and bool(SEPARATOR.match(lines[above]))
+        if run - i >= 2 or (parted and run < n):
+            start = above if parted else i
             for k in range(start, n):
                 old[k] = True
             break
     return old
 
 
-def new_lines(lines: list[str], old: list[bool]) -> list[int]:
-    return [i for i, x in enumerate(lines) if x.strip() and not old[i]]
-
-
 def segments(lines: list[str], old: list[bool]) -> list[tuple[int, int]]:
     """Maximal runs [a, b) of lines that are not old."""
     out, a = [], None
@@ -144,18 +154,21 @@ def canonical(line: str) -> str:
     return re.sub(r"\d+", "9", s)
 
 
-def _hashed(key: str) -> str:
-    """The key, or its hash where it is long, so that texts of any length can be counted."""
-    return key if len(key) <= 400 or GREETING.match(key) else f"{key[0]}#{xxhash.xxh3_128_hexdigest(key)}"
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def line_key(line: str) -> str:
-    return _hashed(canonical(line))
+def line_key(line: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(canonical(line)))
 
 
-def paragraph_key(lines: list[str]) -> str:
-    """The words of a paragraph, however it is wrapped."""
-    return _hashed("¶" + " ".join(w for x in lines for w in x.split()))
+def lower_parts(lines: list[str], top: int, end: int) -> Iterator[tuple[int, int]]:
+    """(line, key) of every part [line, end) of a paragraph; a key is of its words, however they are wrapped."""
+    h = 0
+    for i in range(end - 1, top - 1, -1):
+        for w in reversed(lines[i].split()):
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(w) + 1) & 0xFFFFFFFFFFFFFFFF
+        yield i, _signed(h)
 
 
 def _paragraph(lines: list[str], a: int, end: int) -> int:
@@ -166,34 +179,59 @@ def _paragraph(lines: list[str], a: int, end: int) -> int:
     return i
 
 
-def ending_candidates(lines: list[str], old: list[bool]) -> set[str]:
-    """What could recur: last lines, whole last paragraphs, and what stands under a closing formula or rule in
-    them, of the mail's own parts."""
-    got: set[str] = set()
-    for a, b in segments(lines, old):
-        end, paragraphs = b, 0
-        while end > a and paragraphs < 4:
+def ending_candidates(lines: list[str], old: list[bool], names: set[str]) -> dict[int, tuple[int, bool, bool, bool]]:
+    """What could recur, key to (line, whether it is a part of a paragraph, whether it counts or is looked up only,
+    whether it looks like an ending): last lines, and the lower parts of paragraphs, of the mail's own parts. Whole
+    paragraphs count, and what stands below an introducing line in them. An ending stands below a closing formula,
+    rule or name, or is a paragraph without sentence, or the mail's last one and no short sentence."""
+    got: dict[int, tuple[int, bool, bool, bool]] = {}
+    parts = segments(lines, old)
+    last = parts[-1][0] if parts else 0
+    for a, b in parts:
+        end, lowest, lines_below = b, b, 0
+        here: list[tuple[int, int, bool, bool, bool]] = []
+        while end > a:
             while end > a and not lines[end - 1].strip():
                 end -= 1
             if end <= a:
                 break
             top, i = _paragraph(lines, a, end), end
-            got.add(paragraph_key(lines[top:end]))
-            under = next((k for k in range(end - 1, top, -1) if CLOSING.match(lines[k - 1]) or RULE.match(lines[k - 1])), None)
-            if under is not None:
-                got.add(paragraph_key(lines[under:end]))
+            if POSTSCRIPT.match(lines[top]):
+                end = top
+                continue
             # line by line, as long as they don't read as sentences
-            while i > top and not LIST.match(lines[i - 1]) and not (lines[i - 1].rstrip().endswith((".", "!", "?")) and len(lines[i - 1]) > 3):
-                got.add(line_key(lines[i - 1]))
+            while i > top and not LIST.match(lines[i - 1]) and (INITIALS.match(lines[i - 1]) or not SENTENCE_END.search(lines[i - 1])):
                 i -= 1
+            loose, bottom = i == top, not lines_below and a == last
+            here += [(line_key(lines[k]), k, False, True, loose) for k in range(i, end) if not GREETING.match(lines[k])]
+            bare = end  # without what patterns know, a list's footer below a notice
+            while bare > top and (_introduces(lines[bare - 1], names) or _device(lines[bare - 1])):
+                bare -= 1
+            lines_below += bare - top
+            for k, key in (*lower_parts(lines, top, end), *(lower_parts(lines, top, bare) if top < bare < end else ())):
+                if not GREETING.match(lines[k]):
+                    alone = k == top or _introduces(lines[k - 1], names)
+                    here.append((key, k, True, alone, alone and (loose or bottom and sum(len(x.split()) for x in lines[k : k + SENTENCE]) >= SENTENCE)))
+            lowest = next((k for k in range(top, end) if _introduces(lines[k], names)), lowest)
             # a notice may stand right below other ending lines
-            if i > top and i < end:
+            if top < i < bare:
                 break
-            paragraphs += 1
             end = top
+        for key, k, part, counts, sure in here:
+            got[key] = (k, part, counts, sure or k > lowest)
     return got
 
 
+def _device(line: str) -> bool:
+    s = line.strip()
+    return bool(PHONE.match(s) or LINK.match(s) or len(s) < 70 and LIST_FOOTER.search(s))
+
+
+def _introduces(line: str, names: set[str]) -> bool:
+    s = line.strip()
+    return bool(CLOSING.match(s) or RULE.match(s)) or s.casefold().rstrip(",") in names
+
+
 def sender_names(sender: str | None) -> set[str]:
     if not sender:
         return set()
@@ -208,18 +246,15 @@ def sender_names(sender: str | None) -> set[str]:
     return got
 
 
-def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurring: frozenset[str], own: frozenset[str] = frozenset()) -> list[bool]:
-    """``old`` with the endings of the mail's own parts marked too; ``own``: those recurring with its sender."""
+def strip_endings(lines: list[str], old: list[bool], sender: str | None, known_lines: Collection[int] = (), known_parts: Collection[int] = ()) -> list[bool]:
+    """``old`` with the endings of the mail's own parts marked too; known are lines that recur as endings, and
+    those from which on the rest of their paragraph does."""
     out, names = list(old), sender_names(sender)
 
-    def known(x: str) -> bool:
-        return x in recurring or x in own
-
     def ending(i: int) -> bool:
-        s = lines[i].strip()
-        if RULE.match(s) or CLOSING.match(s) or PHONE.match(s) or LINK.match(s) or len(s) < 70 and LIST_FOOTER.search(s) or s.casefold().rstrip(",") in names:
+        if _introduces(lines[i], names) or _device(lines[i]):
             return True
-        return known(line_key(s)) and not LIST.match(lines[i])
+        return i in known_lines and not LIST.match(lines[i])
 
     parts = []
     for a, b in segments(lines, old):
@@ -243,7 +278,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
             if POSTSCRIPT.match(lines[top]):  # new text behind the signature
                 end, kept = top, True
                 continue
-            if known(paragraph_key(lines[top:end])):
+            if top in known_parts:
                 gone += range(top, end)
                 end = top
                 continue
@@ -257,7 +292,7 @@ def strip_endings(lines: list[str], old: list[bool], sender: str | None, recurri
                     i = rule
                 else:
                     # the lower lines of a paragraph may be a known notice under the signature
-                    cut = next((k for k in range(top, i) if known(paragraph_key(lines[k:i]))), None)
+                    cut = next((k for k in range(top, i) if k in known_parts), None)
                     if cut is None:
                         break
                     i = cut
@@ -312,148 +347,196 @@ class SuffixAutomaton:
         link[q] = c
         return c
 
-    def covered(self, words: list[str], least: int) -> list[bool]:
-        """Which words lie in a match of at least ``least`` words."""
-        out, state, length = [False] * len(words), 0, 0
-        upto = 0
-        for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.size[state]
-            if w in self.next[state]:
-                state, length = self.next[state][w], length + 1
+    def lengths(self, words: list[str]) -> list[int]:
+        """Of the longest match that ends with each word."""
+        nxt, link, size, out, state, length = self.next, self.link, self.size, [], 0, 0
+        for w in words:
+            while state and w not in nxt[state]:
+                state = link[state]
+                length = size[state]
+            if w in nxt[state]:
+                state, length = nxt[state][w], length + 1
             else:
                 length = 0
-            if length >= least:
-                for k in range(max(upto, i - length + 1), i + 1):
-                    out[k] = True
-                upto = i + 1
+            out.append(length)
         return out
 
+    def take_in(self, words: list[str], least: int, lengths: list[int]) -> None:
+        """Add the stretches with a run of ``least`` words that is not known yet."""
+        fresh = [k for k in range(least - 1, len(words)) if lengths[k] < least]
+        begun = 0
+        for n, k in enumerate(fresh):
+            if n + 1 == len(fresh) or fresh[n + 1] != k + 1:
+                self.add(words[fresh[begun] - least + 1 : k + 1])
+                begun = n + 1
+
+
+def covered(lengths: list[int], least: int) -> list[bool]:
+    """Which words lie in a match of at least ``least`` words."""
+    out, upto = [False] * len(lengths), 0
+    for i, length in enumerate(lengths):
+        if length >= least:
+            for k in range(max(upto, i - length + 1), i + 1):
+                out[k] = True
+            upto = i + 1
+    return out
+
 
-def _words(lines: list[str], rows: list[int]) -> tuple[list[str], list[int]]:
+def body_words(lines: list[str]) -> tuple[list[str], list[int]]:
+    """The words of a body without its quote marks, and the line of each."""
     words, at = [], []
-    for i in rows:
-        got = WORDS.findall(lines[i])
+    for i, line in enumerate(lines):
+        got = WORDS.findall(MARKS.sub("", line))
         words += got
         at += [i] * len(got)
     return words, at
 
 
-def _whole_lines(at: list[int], covered: list[bool]) -> set[int]:
-    """Lines all of whose words are covered."""
-    bad = {i for i, c in zip(at, covered) if not c}
-    return set(at) - bad
+def inherited_lines(lines: list[str], at: list[int], cover: list[bool]) -> tuple[set[int], dict[int, str]]:
+    """Lines that are inherited whole, with wordless ones between them, and what is left of those that are in part."""
+    if not any(cover):
+        return set(), {}
+    seen: dict[int, list[bool]] = {}
+    for i, c in zip(at, cover):
+        seen.setdefault(i, []).append(c)
+    whole = {i for i, c in seen.items() if all(c)}
+    filled = sorted(seen)
+    for a, b in zip(filled, filled[1:]):
+        if a in whole and b in whole:
+            whole.update(k for k in range(a + 1, b) if lines[k].strip())
+    rest = {}
+    for i, c in seen.items():
+        if i not in whole and any(c):
+            head = MARKS.match(lines[i])
+            text, kept, last = lines[i][head.end() if head else 0 :], [], 0
+            for m, gone in zip(WORDS.finditer(text), c):
+                if gone:
+                    kept.append(text[last : m.start()])
+                    last = m.end()
+            rest[i] = re.sub(r"\s+", " ", "".join([*kept, text[last:]])).strip()
+    return whole, rest
+
+
+def gram_hashes(words: list[str], seed: int) -> np.ndarray:
+    """Of every ``LONG`` words in a row."""
+    if len(words) < LONG:
+        return np.empty(0, np.int64)
+    codes = np.array([xxhash.xxh3_64_intdigest(w, seed=seed & 0xFFFFFFFF) for w in words], np.uint64)
+    h = np.full(len(words) - LONG + 1, seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(LONG):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
 def _bodies(mails: DataFrame) -> DataFrame:
-    """The mails with a text; ``address``: that of the sender, else what stands for it."""
+    """The mails with a text; ``address``: that of the sender, else what stands for it; ``same``: the text whatever its blanks."""
     address = F.regexp_extract("sender", r"([^<>\s\"]+@[^<>\s\"]+)", 1)
-    bodies = mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
-    return bodies.withColumn("address", F.lower(F.when(address != "", address).otherwise(F.trim("sender"))))
+    bodies = mails.select(F.col("mail_id").cast("long").alias("mail_id"), "sender", F.col("body_text").alias("body"), F.xxhash64(thread_of(F.col("subject"))).alias("thread"), (thread_of(F.col("subject")) == "").alias("alone"))
+    bodies = bodies.where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
+    return bodies.withColumn("address", F.lower(F.when(address != "", address).otherwise(F.trim("sender")))).withColumn("same", F.xxhash64(F.regexp_replace("body", r"\s+", " ")))
 
 
-def recurring_endings(mails: DataFrame) -> tuple[frozenset[str], DataFrame]:
-    """Lines and paragraphs at the ends of mails that recur in at least RECURS of them, counted over all;
-    at most a few endings a mail can recur, so their number is bounded by that share. And per address those
-    that recur in at least OWN of its own different mails, (address, own), bounded in the same way."""
+def _segments(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mail_id, segment, parts) of the mails to read, parts being the segments of their thread, 0 where nothing can
+    be inherited; and (rep, copy) of the copies that are not read."""
+    first = bodies.groupBy("thread", "alone", "same").agg(F.min("mail_id").alias("rep"))
+    sizes = first.groupBy("thread", "alone").agg(F.count("*").alias("n"))
+    parts = F.when(F.col("alone") | (F.col("n") < 2), 0).otherwise(F.ceil(F.col("n") / SEGMENT)).cast("int")
+    segment = F.when(parts == 1, F.col("thread")).otherwise(F.xxhash64("thread", F.when(parts == 0, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), parts))))
+    read = first.join(sizes, ["thread", "alone"]).select(F.col("rep").alias("mail_id"), segment.alias("segment"), parts.alias("parts"))
+    copies = bodies.select("thread", "alone", "same", "mail_id").join(first, ["thread", "alone", "same"]).where("mail_id > rep").select("rep", F.col("mail_id").alias("copy"))
+    return read, copies
 
-    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _across_segments(reps: DataFrame) -> DataFrame:
+    """(mail_id, known): in threads of several segments, where runs of LONG words begin that an earlier mail has."""
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seen: Counter = Counter()
-            for address, body in frame[["address", "body"]].itertuples(index=False):
-                lines = split_lines(body)
-                same = xxhash.xxh3_64_intdigest(body) >> 1
-                for x in ending_candidates(lines, mark_quotes(lines)):
-                    if not GREETING.match(x):
-                        seen[(address, x, same)] += 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["address", "ending", "same", "n"]).astype({"same": "int64", "n": "int64"})
+            ids, at, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for mail_id, thread, body in frame[["mail_id", "thread", "body"]].itertuples(index=False):
+                h = gram_hashes(body_words(split_lines(body))[0], int(thread))
+                ids.append(np.full(len(h), mail_id))
+                at.append(np.arange(len(h)))
+                keys.append(h)
+            yield pd.DataFrame({"mail_id": np.concatenate(ids), "at": np.concatenate(at).astype("int32"), "gram": np.concatenate(keys)})
 
-    bodies = _bodies(mails)
-    total = bodies.count()
-    counts = bodies.select("address", "body").mapInPandas(candidates, "address string, ending string, same long, n long")
-    counts = materialize(counts.groupBy("address", "ending", "same").agg(F.sum("n").alias("n")).groupBy("address", "ending").agg(F.sum("n").alias("n"), F.count("*").alias("mails")), "mail-endings")
-    everywhere = counts.groupBy("ending").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, RECURS * total)).select("ending")
-    sent = bodies.groupBy("address").agg(F.count_distinct(F.xxhash64("body")).alias("sent"))
-    often = counts.where((F.col("mails") >= LEAST) & F.col("address").isNotNull()).join(sent, "address").where(F.col("mails") >= OWN * F.col("sent"))
-    own = often.join(everywhere, "ending", "left_anti").groupBy("address").agg(F.collect_list("ending").alias("own"))
-    return frozenset(r["ending"] for r in everywhere.collect()), own
+    rows = reps.where("parts > 1").select("mail_id", "thread", "body").mapInPandas(grams, "mail_id long, at int, gram long")
+    first = rows.groupBy("gram").agg(F.min("mail_id").alias("first"))
+    return rows.join(first, "gram").where("first < mail_id").groupBy("mail_id").agg(F.collect_list("at").alias("known"))
 
 
-def new_text(mails: DataFrame) -> DataFrame:
-    """(mail_id, line_no, line): the lines newly written by the sender."""
-    spark = mails.sparkSession
-    everywhere, own = recurring_endings(mails)
-    recurring = spark.sparkContext.broadcast(everywhere)
-
-    @F.pandas_udf("string")
-    def threads(subjects: pd.Series) -> pd.Series:
-        return subjects.map(thread_of)
-
-    keyed = _bodies(mails).join(own, "address", "left").drop("address").withColumn("thread", threads("subject")).withColumn("thread", F.when(F.length("thread") > 0, F.col("thread")).otherwise(F.concat(F.lit("\u0000"), F.col("mail_id"))))
-    sizes = keyed.groupBy("thread").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > THREAD).select("thread")  # joined, not collected: their number grows with the mails
-    schema = "mail_id long, line_no int, line string"
-
-    def final(mail_id, sender, own, lines, old, inherited, out):
-        own = frozenset(own) if own is not None else frozenset()
-        old = strip_endings(lines, [o or i in inherited for i, o in enumerate(old)], sender, recurring.value, own)
-        for i in new_lines(lines, old):
-            out.append((mail_id, i, lines[i]))
-
-    def per_thread(frame: pd.DataFrame) -> pd.DataFrame:
-        sam, seen, out = SuffixAutomaton(), {}, []
-        many = len(frame) > 1
-        for mail_id, sender, own, body in frame.sort_values("mail_id")[["mail_id", "sender", "own", "body"]].itertuples(index=False):
-            lines = split_lines(body)
-            old = mark_quotes(lines)
-            inherited: set[int] = set()
-            if many:
-                words, at = _words(lines, new_lines(lines, old))
-                same = tuple(words)
-                if same in seen:
-                    inherited = seen[same]
-                else:
-                    if len(words) >= LONG:
-                        inherited = _whole_lines(at, sam.covered(words, LONG))
-                        sam.add(words)
-                    seen[same] = inherited
-            final(mail_id, sender, own, lines, old, inherited, out)
-        return pd.DataFrame(out, columns=["mail_id", "line_no", "line"])
+READ = "mail_id long, sender string, address string, same long, body string, old array<int>, rest map<int,string>, endings array<struct<key: long, at: int, part: boolean, counts: boolean, sure: boolean>>"
 
-    cold = keyed.join(hot, "thread", "left_anti").groupBy("thread").applyInPandas(per_thread, schema)
 
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_threads(bodies: DataFrame, read: DataFrame) -> DataFrame:
+    """Every mail that is read, with its inherited and quoted lines and what could be its endings."""
+    reps = bodies.join(read, "mail_id")
+    known = _across_segments(reps)
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sam = None, SuffixAutomaton()
         for frame in frames:
             out = []
-            for t, mail_id, body in frame[["thread", "mail_id", "body"]].itertuples(index=False):
+            for segment, parts, mail_id, sender, address, same, body, before in frame[["segment", "parts", "mail_id", "sender", "address", "same", "body", "known"]].itertuples(index=False):
                 lines = split_lines(body)
-                words, _ = _words(lines, new_lines(lines, mark_quotes(lines)))
-                whole = xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
-                for h in {xxhash.xxh3_64_intdigest(" ".join(words[k : k + LONG])) >> 1 for k in range(len(words) - LONG + 1)}:
-                    out.append((t, h, mail_id, whole))
-            yield pd.DataFrame(out, columns=["thread", "h", "mail_id", "whole"])
-
-    hot_mails = keyed.join(hot, "thread", "left_semi")
-    rows = hot_mails.mapInPandas(grams, "thread string, h long, mail_id long, whole long")
-    first = rows.groupBy("thread", "h").agg(F.min(F.struct("mail_id", "whole")).alias("first"))
-    known = rows.join(first, ["thread", "h"]).where((F.col("first.mail_id") < F.col("mail_id")) & (F.col("first.whole") != F.col("whole")))
-    known = known.groupBy("mail_id").agg(F.collect_set("h").alias("known"))
-
-    def per_mail(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                inherited, rest = set(), {}
+                if parts:
+                    if segment != current:
+                        current, sam = segment, SuffixAutomaton()
+                    words, at = body_words(lines)
+                    lengths = sam.lengths(words)
+                    cover = covered(lengths, LONG)
+                    for k in before if before is not None else ():
+                        cover[k : k + LONG] = [True] * LONG
+                    inherited, rest = inherited_lines(lines, at, cover)
+                    sam.take_in(words, LONG, lengths)
+                old = mark_quotes(lines, inherited)
+                endings = [{"key": key, "at": k, "part": part, "counts": counts, "sure": sure} for key, (k, part, counts, sure) in ending_candidates(lines, old, sender_names(sender)).items()]
+                out.append((mail_id, sender, address, same, body, [i for i, o in enumerate(old) if o], rest, endings))
+            yield pd.DataFrame(out, columns=["mail_id", "sender", "address", "same", "body", "old", "rest", "endings"])
+
+    # a segment's mails lie together and in order, so they stream through its automaton; no group is gathered
+    lined = reps.join(known, "mail_id", "left").repartition("segment").sortWithinPartitions("segment", "mail_id")
+    return lined.select("segment", "parts", "mail_id", "sender", "address", "same", "body", "known").mapInPandas(stream, READ)
+
+
+def recurring_endings(mails: DataFrame) -> DataFrame:
+    """(mail_id, lines, parts): where endings begin that recur with the mail's sender or with everybody."""
+    found = mails.select("mail_id", "address", "same", F.explode("endings").alias("e")).select("mail_id", "address", "same", "e.*")
+    each = found.where("counts and address is not null").groupBy("address", "key", "same").agg(F.max(F.col("sure").cast("int")).alias("sure")).groupBy("address", "key").agg(F.count("*").alias("n"), F.avg("sure").alias("sure"))
+    sent = mails.groupBy("address").agg(F.count_distinct("same").alias("sent"))
+    each = each.join(sent, "address").withColumn("own", (F.col("n") >= LEAST) & (F.col("n") >= OWN * F.col("sent")))
+    everywhere = each.groupBy("key").agg(F.count("*").alias("senders"), F.avg("sure").alias("sure"), F.count_if("own").alias("owners")).where(((F.col("senders") >= SENDERS) & (F.col("sure") >= SURE)) | (F.col("owners") >= 2))
+    own = each.where("own").select("address", "key").join(everywhere, "key", "left_anti")
+    known = found.join(everywhere.select("key"), "key", "left_semi").select("mail_id", "at", "part").unionByName(found.join(own, ["address", "key"], "left_semi").select("mail_id", "at", "part"))
+    return known.groupBy("mail_id").agg(F.collect_set(F.when(~F.col("part"), F.col("at"))).alias("lines"), F.collect_set(F.when(F.col("part"), F.col("at"))).alias("parts"))
+
+
+def new_text(mails: DataFrame) -> DataFrame:
+    """(mail_id, line_no, line): the lines newly written by the sender; of a line that is inherited in part, what is left."""
+    bodies = _bodies(mails)
+    read, copies = _segments(bodies)
+    threads = materialize(read_threads(bodies, read), "mail-threads")
+
+    def final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list = []
-            for mail_id, sender, own, body, got in frame[["mail_id", "sender", "own", "body", "known"]].itertuples(index=False):
+            ids, numbers, texts = [], [], []
+            for mail_id, sender, body, gone, rest, known_lines, known_parts in frame[["mail_id", "sender", "body", "old", "rest", "lines", "parts"]].itertuples(index=False):
                 lines = split_lines(body)
-                old, inherited = mark_quotes(lines), set()
-                if got is not None and len(got):
-                    words, at = _words(lines, new_lines(lines, old))
-                    hashes, cover = set(map(int, got)), [False] * len(words)
-                    for k in range(len(words) - LONG + 1):
-                        if xxhash.xxh3_64_intdigest(" ".join(words[k : k + LONG])) >> 1 in hashes:
-                            cover[k : k + LONG] = [True] * LONG
-                    inherited = _whole_lines(at, cover)
-                final(mail_id, sender, own, lines, old, inherited, out)
-            yield pd.DataFrame(out, columns=["mail_id", "line_no", "line"])
-
-    return cold.unionByName(hot_mails.join(known, "mail_id", "left").mapInPandas(per_mail, schema))
+                old = [False] * len(lines)
+                for i in gone:
+                    old[i] = True
+                old = strip_endings(lines, old, sender, *(set(map(int, x)) if x is not None else () for x in (known_lines, known_parts)))
+                kept = [i for i, x in enumerate(lines) if x.strip() and not old[i]]
+                left = dict(rest)
+                ids += [mail_id] * len(kept)
+                numbers += kept
+                texts += [left.get(i, lines[i]) for i in kept]
+            yield pd.DataFrame({"mail_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32"), "line": pd.Series(texts, dtype="object")})
+
+    lines = threads.select("mail_id", "sender", "body", "old", "rest").join(recurring_endings(threads), "mail_id", "left").mapInPandas(final, "mail_id long, line_no int, line string")
+    again = lines.join(copies, F.col("mail_id") == F.col("rep")).select(F.col("copy").alias("mail_id"), "line_no", "line")
+    return lines.unionByName(again)
