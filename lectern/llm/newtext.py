@@ -431,23 +431,23 @@ def gram_hashes(words: list[str], seed: int) -> np.ndarray:
 
 
 def _bodies(mails: DataFrame) -> DataFrame:
-    """The mails with a text; ``address``: that of the sender, else what stands for it; ``same``: the text whatever its blanks."""
+    """The mails with a text; ``address``: that of the sender, else what stands for it."""
     address = F.regexp_extract("sender", r"([^<>\s\"]+@[^<>\s\"]+)", 1)
-    bodies = mails.select(F.col("mail_id").cast("long").alias("mail_id"), "sender", F.col("body_text").alias("body"), F.xxhash64(thread_of(F.col("subject"))).alias("thread"), (thread_of(F.col("subject")) == "").alias("alone"))
-    bodies = bodies.where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
-    return bodies.withColumn("address", F.lower(F.when(address != "", address).otherwise(F.trim("sender")))).withColumn("same", F.xxhash64(F.regexp_replace("body", r"\s+", " ")))
+    bodies = mails.select(F.col("mail_id").cast("long").alias("mail_id"), "subject", "sender", F.col("body_text").alias("body")).where(F.col("body").rlike(r"\S") & F.col("mail_id").isNotNull())
+    return bodies.withColumn("address", F.lower(F.when(address != "", address).otherwise(F.trim("sender"))))
 
 
-def _segments(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mail_id, segment, parts) of the mails to read, parts being the segments of their thread, 0 where nothing can
-    be inherited; and (rep, copy) of the copies that are not read."""
-    first = bodies.groupBy("thread", "alone", "same").agg(F.min("mail_id").alias("rep"))
+def _segments(bodies: DataFrame) -> DataFrame:
+    """(mail_id, rep, same, thread, segment, parts) of every mail: ``same`` stands for its text whatever the blanks,
+    ``rep`` is the copy that is read, parts are the segments of its thread, 0 where nothing can be inherited."""
+    subject = thread_of(F.col("subject"))
+    ids = materialize(bodies.select("mail_id", F.xxhash64(subject).alias("thread"), (subject == "").alias("alone"), F.xxhash64(F.regexp_replace("body", r"\s+", " ")).alias("same")), "mail-ids")
+    first = ids.groupBy("thread", "alone", "same").agg(F.min("mail_id").alias("rep"))
     sizes = first.groupBy("thread", "alone").agg(F.count("*").alias("n"))
     parts = F.when(F.col("alone") | (F.col("n") < 2), 0).otherwise(F.ceil(F.col("n") / SEGMENT)).cast("int")
     segment = F.when(parts == 1, F.col("thread")).otherwise(F.xxhash64("thread", F.when(parts == 0, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), parts))))
-    read = first.join(sizes, ["thread", "alone"]).select(F.col("rep").alias("mail_id"), segment.alias("segment"), parts.alias("parts"))
-    copies = bodies.select("thread", "alone", "same", "mail_id").join(first, ["thread", "alone", "same"]).where("mail_id > rep").select("rep", F.col("mail_id").alias("copy"))
-    return read, copies
+    read = first.join(sizes, ["thread", "alone"]).select("thread", "alone", "same", "rep", segment.alias("segment"), parts.alias("parts"))
+    return materialize(ids.join(read, ["thread", "alone", "same"]).select("mail_id", "rep", "same", "thread", "segment", "parts"), "mail-segments")
 
 
 def _across_segments(reps: DataFrame) -> DataFrame:
@@ -471,9 +471,9 @@ def _across_segments(reps: DataFrame) -> DataFrame:
 READ = "mail_id long, sender string, address string, same long, body string, old array<int>, rest map<int,string>, endings array<struct<key: long, at: int, part: boolean, counts: boolean, sure: boolean>>"
 
 
-def read_threads(bodies: DataFrame, read: DataFrame) -> DataFrame:
+def read_threads(bodies: DataFrame, segments_: DataFrame) -> DataFrame:
     """Every mail that is read, with its inherited and quoted lines and what could be its endings."""
-    reps = bodies.join(read, "mail_id")
+    reps = bodies.select("mail_id", "sender", "address", "body").join(segments_.where("mail_id = rep").drop("rep"), "mail_id")
     known = _across_segments(reps)
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -518,25 +518,24 @@ def recurring_endings(mails: DataFrame) -> DataFrame:
 def new_text(mails: DataFrame) -> DataFrame:
     """(mail_id, line_no, line): the lines newly written by the sender; of a line that is inherited in part, what is left."""
     bodies = _bodies(mails)
-    read, copies = _segments(bodies)
-    threads = materialize(read_threads(bodies, read), "mail-threads")
+    mails_read = _segments(bodies)
+    threads = materialize(read_threads(bodies, mails_read), "mail-threads")
 
     def final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, numbers, texts = [], [], []
+            out = []
             for mail_id, sender, body, gone, rest, known_lines, known_parts in frame[["mail_id", "sender", "body", "old", "rest", "lines", "parts"]].itertuples(index=False):
                 lines = split_lines(body)
                 old = [False] * len(lines)
                 for i in gone:
                     old[i] = True
                 old = strip_endings(lines, old, sender, *(set(map(int, x)) if x is not None else () for x in (known_lines, known_parts)))
-                kept = [i for i, x in enumerate(lines) if x.strip() and not old[i]]
                 left = dict(rest)
-                ids += [mail_id] * len(kept)
-                numbers += kept
-                texts += [left.get(i, lines[i]) for i in kept]
-            yield pd.DataFrame({"mail_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32"), "line": pd.Series(texts, dtype="object")})
-
-    lines = threads.select("mail_id", "sender", "body", "old", "rest").join(recurring_endings(threads), "mail_id", "left").mapInPandas(final, "mail_id long, line_no int, line string")
-    again = lines.join(copies, F.col("mail_id") == F.col("rep")).select(F.col("copy").alias("mail_id"), "line_no", "line")
-    return lines.unionByName(again)
+                kept = [i for i, x in enumerate(lines) if x.strip() and not old[i]]
+                out.append((mail_id, kept, [left.get(i, lines[i]) for i in kept]))
+            yield pd.DataFrame(out, columns=["rep", "line_no", "line"])
+
+    found = threads.select("mail_id", "sender", "body", "old", "rest").join(recurring_endings(threads), "mail_id", "left").mapInPandas(final, "rep long, line_no array<int>, line array<string>")
+    # every copy has the lines of the one that was read
+    lines = found.join(mails_read.select("rep", "mail_id"), "rep").select("mail_id", F.explode(F.arrays_zip("line_no", "line")).alias("l"))
+    return lines.select("mail_id", "l.line_no", "l.line")
