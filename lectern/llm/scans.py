@@ -1,13 +1,17 @@
 """Repairing text from scanned pages: furniture, broken words, misread characters.
 
 Furniture is found per book: keys of first and last lines are counted over all its
-pages; opening lines of chapters give further keys. Words are counted over all
-pages; words whose characters could be misread for one another share a key, and a
-rare word is linked to the dominant word of its key. Skip-gram vectors (signed
-random indexing of the contexts, summed over the whole corpus in one pass instead
-of gradient steps) confirm the link: a word that occurs often enough to have a
-context of its own must share the dominant word's. A break sign at a line's end is
-a fault unless the corpus writes the word with it.
+pages; opening lines of chapters give further keys. Then every page is read into its
+words once, and all the rest works on that table. Words are counted over all pages;
+words whose characters could be misread for one another share a key, and a word is
+linked to the dominant words of its keys. Skip-gram vectors decide: for every single
+occurrence of a linked word the words around it are compared with those around each
+candidate and around the word elsewhere, and this, how often they occur and whether a
+word can be spelled so make a score. A break sign at a line's end is a fault unless the
+corpus writes the word with it.
+
+The vectors are signed random projections of the skip-gram counts, with frequent
+contexts subsampled, summed over the whole corpus in one pass instead of gradient steps.
 
 Defined cases: null and blank pages have no line; rows without page or book are left out, a missing page number has no continuation; nulls in ``ocr`` and wrong values
 don't matter, it is not consulted; repeated page numbers of a book are taken as
@@ -19,20 +23,29 @@ matched where a head is misread, by a join on pieces of the keys.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import materialize
 
-COMMON = 50_000
-CONTEXTS = 512
-DIM = 16
+DIM = 64
 WINDOW = 3
+SAMPLE = 1e-3  # contexts above this share of all words weigh less
+SKETCH = 1 << 18  # counters of the word counts that weigh contexts; collisions only lower a weight
+BLOOM = 1 << 22  # bits of the filter in front of the join with linked words; collisions only cost time
+SHARE = 8  # a dominant word has an eighth of the occurrences of its key, so a key has eight at most
+CONTEXT, SHAPED, SHORT, ENOUGH = 3.2, 3.0, 1.3, 4.6  # what context, impossible shape and shortness add to log2 of the odds, and what is enough
+
+# Kinds of words of a page.
+WORD, SPELLED, BROKEN, HALF, BESIDES = range(5)  # as it stands, the hyphenated whole (counted only), a broken word (not counted), half of one (not counted), context only
 
 # Characters that scanners take for one another, misread to true.
 CLASSES = ("ec", "nu", "tfſ", "hb", "li1!I|", "o0", "a@", "s5", "vy", "gq", "B8")
@@ -41,27 +54,30 @@ VARIANTS = (("6", "b"), ("6", "é"), ("6", "ó"), ("6", "e"), ("5", "ä"), ("5",
 BREAKS = "-¬‐­‑"
 SURE_BREAKS = "¬‐­"
 ODD = re.compile(r"[0-9@!|]")
-SHAPE = r"^\p{L}*\p{Ll}[0-9@!|I]\p{L}*$|^[0-9@!|]\p{Ll}{2,}$"  # no word is spelled so
+SHAPE = r"^\p{L}*\p{Ll}[0-9@!|I]\p{L}*$|^[0-9@!|]\p{Ll}{2,}$|^\p{L}+[@!|]\p{L}+$"  # no word is spelled so
 
+IMPOSSIBLE = regex.compile(SHAPE)
 SAME = str.maketrans({c: group[0] for group in CLASSES for c in group})
 PAGE = r"(?:(?:page|seite|página|pagina|p|pp|s|pág|pag|folio|fol)\.?\s*)?"
-INNER = re.compile(r"[a-zà-ÿ][0-9@!|][a-zà-ÿ]")
 PLAIN = str.maketrans("1!|I0@5ſ", "llllo" + "asf")
 NUMBER = re.compile(r"(?i)^\W*" + PAGE + r"(?:[ivxlcdm1]{1,7}|[\dol!s]{1,4})\W*$")
 OPENER = re.compile(r"^\s*(?:[^\W\d_]{4,10}\.?\s+)?(?:[\dlIO]{1,3}|[IVXLC]{1,6})\.?\s*$")
 BESIDE = re.compile(r"^\s*(?:[\divxlcIVXLCoOS!5]{1,6}\s{2,}(\S.*?)|(\S.*?)\s{3,}[\divxlcIVXLCoOS!5]{1,6})\s*$")
 SPACED = re.compile(r"^\s*(?:\S\s){3,}\s*\S(?:\s+\S)*\s*$")
-TOKEN = re.compile(r"\S+")
 PARTS = re.compile(r"[-'’]")
 EDGE = ".,;:?()«»\"„“”‘…[]—–*"
 
 
+FOLDED_PAIRS = tuple((a.translate(SAME), b.translate(SAME)) for a, b in PAIRS)
+
+
 def canon(word: str) -> str:
-    """Key that a word shares with what a scanner could make of it."""
-    s = word.translate(PLAIN)
-    for a, b in PAIRS:
+    """Key that a word shares with what a scanner could make of it: single characters first, so that a pair one
+    of whose characters is misread too is still a pair."""
+    s = word.translate(PLAIN).translate(SAME).lower().translate(SAME)
+    for a, b in FOLDED_PAIRS:
         s = s.replace(a, b)
-    return s.translate(SAME).lower().translate(SAME)
+    return s
 
 
 def canon_variants(word: str) -> set[str]:
@@ -214,10 +230,6 @@ def _clean(token: str) -> str:
     return token.strip(EDGE)
 
 
-def body_tokens(text: str, gone: set[int]) -> list[tuple[int, list[str]]]:
-    return [(i, TOKEN.findall(line)) for i, line in enumerate(text.split("\n")) if i not in gone and line.strip()]
-
-
 def break_sign(line: str) -> str | None:
     """The break sign that ends the line inside a word, if any."""
     s = line.rstrip()
@@ -236,26 +248,180 @@ def words_of(token: str) -> list[str]:
     return [p for p in PARTS.split(t) if sum(c.isalpha() for c in p) >= 1 and len(p) > 1]
 
 
+PAGE = "page_id long, source_id long, page_number int, furniture array<int>, first_token string, open_line int, open_token string, open_before array<string>, words array<string>, lines array<int>, kinds array<int>, cuts array<int>, nexts array<int>, breaks array<struct<line_no: int, sign: string, joined: string, hyphened: string, lower: boolean>>"
+PAGE_COLUMNS = [x.split()[0] for x in re.sub(r"<.*?>+", "", PAGE).split(", ")]
+
+
+def _clean_tail(token: str) -> str:
+    return token.rstrip(EDGE + "!")
+
+
+def _broken(token: str, after: str, line: int, then: int) -> tuple[list[tuple], dict | None] | None:
+    """Words and break of a token that goes on with ``after``, in the line ``then``, -1 on another page; None where it doesn't."""
+    if not after or not (after[0].isalnum() or after[0] in "@!"):
+        return None
+    sign, a, b = token[-1], token[:-1].lstrip(EDGE), after
+    head, tail = words_of(a), words_of(_clean_tail(b))
+    lead, rest = PARTS.split(a)[-1].lstrip(EDGE), PARTS.split(_clean_tail(b))[0]
+    out = [(w, line, BROKEN, len(lead), then) for w in words_of(lead + rest)] if lead and rest else []
+    # what may be spelled with a hyphen counts as its halves too
+    halves = sign == "-" and min(len(lead), len(rest)) >= 3
+    out += [(w, line, HALF, 0, -1) for w in (head if halves else head[:-1])]
+    if then >= 0:
+        out += [(w, then, HALF, 0, -1) for w in (tail if halves else tail[1:])]
+    a, b = re.split(r"['’]", a)[-1], re.split(r"['’]", _clean_tail(b))[0]
+    if a[-1:].isdigit() and b[:1].isdigit():
+        return out, None
+    return out, {"line_no": line, "sign": sign, "joined": canon(a + b), "hyphened": canon(f"{a}-{b}"), "lower": b[:1].islower() or not b[:1].isupper()}
+
+
+def _words(token: str, line: int, parts: dict[str, list[str]]) -> list[tuple]:
+    got = parts.get(token)
+    if got is None:
+        got = parts[token] = words_of(token)
+        if len(got) > 1 and "-" in token:
+            parts[token] = got = [*got, None]
+    if got and got[-1] is None:
+        return [*((w, line, WORD, 0, -1) for w in got[:-1]), (_clean(token), line, SPELLED, 0, -1)]
+    return [(w, line, WORD, 0, -1) for w in got]
+
+
+def read_page(text: str, gone: Collection[int], parts: dict[str, list[str]] | None = None):
+    """The page's words (word, line, kind, length of the first half, next line), its breaks, its first token, and
+    (line, token, words before it) where the page ends inside a word. ``parts`` remembers the words of tokens."""
+    parts = {} if parts is None else parts
+    lines, skip = text.split("\n"), set(gone)
+    body = [(i, line.split()) for i, line in enumerate(lines) if i not in skip and line.strip()]
+    words: list[tuple] = []
+    breaks: list[dict] = []
+    last, carried = None, 0
+    for k, (i, tokens) in enumerate(body):
+        begin, end = carried, len(tokens)
+        carried, broken = 0, None
+        if break_sign(lines[i]) and end > begin:
+            if k + 1 == len(body):
+                last, end = (i, tokens[-1]), end - 1
+            elif (broken := _broken(tokens[-1], body[k + 1][1][0], i, body[k + 1][0])) is not None:
+                carried, end = 1, end - 1
+        for t in tokens[begin:end]:
+            words += _words(t, i, parts)
+        if broken is not None:
+            words += broken[0]
+            breaks += [broken[1]] if broken[1] else []
+    first = body[0][1][0] if body else None
+    return words, breaks, first, (*last, [w for w, _, kind, _, _ in words[-2 * WINDOW :] if kind in (WORD, BROKEN)][-WINDOW:]) if last else None
+
+
+def close_page(line: int, token: str, goes_on: str | None, parts: dict[str, list[str]]) -> tuple[list[tuple], list[dict]]:
+    """Words and breaks of the last token of a page that ends with a break sign."""
+    got = _broken(token, goes_on, line, -1) if goes_on else None
+    if got is None:
+        return _words(token, line, parts), []
+    return got[0], [got[1]] if got[1] else []
+
+
+def surroundings(batches: Iterator[pa.RecordBatch], weigh: np.ndarray, linked: np.ndarray, suspects: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of contexts of the linked words (word, v), and the context of each suspect (with its place and x)."""
+    linked, suspects = np.unpackbits(linked).view(bool), np.unpackbits(suspects).view(bool)
+    for batch in batches:
+        column = batch.column("words")
+        flat = column.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        kinds, lines, cuts, nexts = (batch.column(c).flatten().to_numpy() for c in ("kinds", "lines", "cuts", "nexts"))
+        page = np.repeat(batch.column("page_id").to_numpy(), column.value_lengths().to_numpy())
+        spelled = flat.dictionary.to_pylist()
+        lowered: dict[str, int] = {}
+        fold = np.array([lowered.setdefault(w.lower(), len(lowered)) for w in spelled])
+        crc = np.array([zlib.crc32(w.encode()) for w in lowered], np.int64)
+        signs = np.unpackbits(np.array([xxhash.xxh3_64_intdigest(w) for w in lowered], np.uint64).view(np.uint8).reshape(-1, 8), axis=1).astype("f4") * 2 - 1
+        signs *= weigh[crc % SKETCH][:, None]
+        needed = linked[crc % BLOOM]
+        suspect = suspects[np.array([zlib.crc32(w.encode()) for w in spelled], np.int64) % BLOOM]
+        ids = flat.indices.to_numpy()
+        inline = np.isin(kinds, (WORD, BROKEN, BESIDES))
+        seq = np.flatnonzero(inline)
+        code, at_page = fold[ids[seq]], page[seq]
+        where = np.maximum(np.cumsum(inline) - 1, 0)  # a half takes the context of the word before it
+        asked = np.flatnonzero(suspect[ids] & np.isin(kinds, (WORD, BROKEN, HALF)))
+        summed = np.flatnonzero(needed[code] & (kinds[seq] == WORD))
+        sums = np.zeros((len(lowered), DIM), "f4")
+        for part in np.array_split(summed, len(summed) // 65536 + 1):
+            if len(part):
+                x = _around(part, code, at_page, signs)
+                order = np.argsort(code[part], kind="stable")
+                starts = np.flatnonzero(np.diff(code[part][order], prepend=-1))
+                sums[code[part][order][starts]] += np.add.reduceat(x[order], starts, axis=0)
+        used = np.flatnonzero((sums != 0).any(1))
+        names = list(lowered)
+        yield pa.record_batch([
+            pa.array([names[i] for i in used], pa.string()), pa.FixedSizeListArray.from_arrays(pa.array(sums[used].ravel()), DIM).cast(pa.list_(pa.float32())),
+            *(pa.nulls(len(used), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())),
+        ], names=["word", "v", "page_id", "line_no", "cut", "next_line", "x"])
+        if len(asked):
+            x = _around(where[asked], code, at_page, signs)
+            yield pa.record_batch([
+                pa.array([spelled[i] for i in ids[asked]], pa.string()), pa.nulls(len(asked), pa.list_(pa.float32())), pa.array(page[asked]), pa.array(lines[asked]), pa.array(cuts[asked]), pa.array(nexts[asked]),
+                pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary()),
+            ], names=["word", "v", "page_id", "line_no", "cut", "next_line", "x"])
+
+
+def _around(at: np.ndarray, code: np.ndarray, page: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Sums of the signs of the words within the window around each position, of the same page."""
+    x = np.zeros((len(at), DIM), "f4")
+    for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+        other = np.clip(at + step, 0, len(code) - 1)
+        x += signs[code[other]] * ((page[other] == page[at]) & (other != at))[:, None]
+    return x
+
+
+def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best candidate of each occurrence, and whether it is misread; without candidate it is by its shape."""
+    for frame in frames:
+        right, misread = [], []
+        for word, n, x, own, candidates in frame[["word", "n", "x", "own_v", "candidates"]].itertuples(index=False):
+            if candidates is None or not len(candidates):
+                right.append(None)
+                misread.append(True)
+                continue
+            x = np.frombuffer(x, "<f2").astype("f4")
+            size = float(np.sqrt(x @ x))
+            here, elsewhere = 0.0, None
+            if own is not None and n > 1 and size:
+                other = np.asarray(own["q"], "f4") * (own["size"] / 127) - x
+                norm = float(np.sqrt(other @ other))
+                if norm > 1e-3:
+                    elsewhere = other / norm
+                    here = max(float(elsewhere @ x) / size, 0.0)
+            best = (-9.0, None)
+            for c in candidates:
+                there = against = 0.0
+                if size and c["right_v"] is not None:
+                    v = np.asarray(c["right_v"]["q"], "f4") / 127
+                    there = float(v @ x) / size
+                    # the word's own uses count against a candidate as far as they differ from the candidate's
+                    against = here * (1 - max(float(v @ elsewhere), 0.0)) if here else 0.0
+                best = max(best, (c["odds"] + CONTEXT * (there - against), c["right"]))
+            right.append(best[1] if best[0] >= ENOUGH else None)
+            misread.append(best[0] >= ENOUGH or bool(IMPOSSIBLE.match(word)))
+        yield frame[["page_id", "line_no", "word", "cut", "next_line"]].assign(right=pd.Series(right, dtype="object", index=frame.index), misread=pd.Series(misread, dtype="bool", index=frame.index))
+
+
 class Scans:
     def __init__(self, pages: DataFrame):
-        spark = pages.sparkSession
+        self.spark = pages.sparkSession
         pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("source_id").cast("long").alias("source_id"), F.col("page_number").cast("int").alias("page_number"), "text").where(F.col("text").rlike(r"\S") & F.col("page_id").isNotNull() & F.col("source_id").isNotNull())
+        self.texts = pages.select("page_id", "text")
+        self.pages = self._read(pages, self._known_heads(pages))
+        self._learn()
 
-        def edge_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                seen: Counter = Counter()
-                for book, text in frame[["source_id", "text"]].itertuples(index=False):
-                    for k, n in page_keys(text):
-                        seen[(book, k)] += n
-                yield pd.DataFrame([(b, k, n) for (b, k), n in seen.items()], columns=["source_id", "key", "n"])
-
-        counts = pages.select("source_id", "text").mapInPandas(edge_keys, "source_id long, key string, n long").groupBy("source_id", "key").agg(F.sum("n").alias("n"))
-        recurring = materialize(counts.where("n >= 2").select("source_id", "key"), "scan-edges")
+    def _known_heads(self, pages: DataFrame) -> DataFrame:
+        """(page_id, known): keys of a page's edges that recur in its book, as they stand or misread."""
 
-        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                out = [(p, b, k) for p, b, text in frame[["page_id", "source_id", "text"]].itertuples(index=False) for k in asked_keys(text)]
-                yield pd.DataFrame(out, columns=["page_id", "source_id", "key"])
+                out = [(p, b, [{"key": k, "n": n} for k, n in page_keys(t)], sorted(asked_keys(t))) for p, b, t in frame[["page_id", "source_id", "text"]].itertuples(index=False)]
+                yield pd.DataFrame(out, columns=["page_id", "source_id", "edges", "asked"])
 
         @F.pandas_udf("array<string>")
         def pieces(keys: pd.Series) -> pd.Series:
@@ -269,132 +435,120 @@ class Scans:
         def alike(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([_alike(x, y) for x, y in zip(a, b)], dtype="bool")
 
+        found = materialize(pages.select("page_id", "source_id", "text").mapInPandas(edges, "page_id long, source_id long, edges array<struct<key: string, n: int>>, asked array<string>"), "scan-edges")
+        counts = found.select("source_id", F.explode("edges").alias("e")).groupBy("source_id", F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+        recurring = materialize(counts.where("n >= 2").select("source_id", "key"), "scan-heads")
         # a page's own keys are looked up among all keys of its book, those not found also for what they may be misread from
-        asked = materialize(pages.select("page_id", "source_id", "text").mapInPandas(ask, "page_id long, source_id long, key string"), "scan-asked")
+        asked = found.select("page_id", "source_id", F.explode("asked").alias("key"))
         odd = asked.select("source_id", "key").distinct().join(recurring, ["source_id", "key"], "left_anti")
         true = recurring.select("source_id", F.col("key").alias("true"), F.explode(probes("key")).alias("piece"))
         near = odd.select("source_id", "key", F.explode(pieces("key")).alias("piece")).join(true, ["source_id", "piece"]).select("source_id", "key", "true").distinct()
         near = near.where(alike("key", "true")).select("source_id", "key").distinct()
-        known_keys = asked.join(recurring.unionByName(near), ["source_id", "key"], "left_semi").groupBy("page_id").agg(F.collect_set("key").alias("known"))
+        return asked.join(recurring.unionByName(near), ["source_id", "key"], "left_semi").groupBy("page_id").agg(F.collect_set("key").alias("known"))
 
-        def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                gone = [furniture(t, set(k) if k is not None else set()) for t, k in zip(frame["text"], frame["known"])]
-                first = []
-                for t, g in zip(frame["text"], gone):
-                    body = next((tokens for _, tokens in body_tokens(t, set(g))), None)
-                    first.append(body[0] if body else None)
-                yield frame.assign(furniture=gone, first_token=first)[["page_id", "source_id", "page_number", "text", "furniture", "first_token"]]
-
-        marked = pages.join(known_keys, "page_id", "left").mapInPandas(mark, "page_id long, source_id long, page_number int, text string, furniture array<int>, first_token string")
-        marked = materialize(marked, "scan-pages")
-        following = marked.groupBy("source_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min_by("first_token", "page_id").alias("goes_on"))
-        self.pages = marked.join(following, ["source_id", "page_number"], "left").select("page_id", "source_id", "page_number", "text", "furniture", "goes_on")
-        self._learn(spark)
-
-    def _learn(self, spark) -> None:
-        """Counts of words and keys, context vectors, and the misread words with their corrections."""
-
-        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                seen: Counter = Counter()
-                for text, gone, goes_on in frame[["text", "furniture", "goes_on"]].itertuples(index=False):
-                    for word in page_words(text, gone, goes_on):
-                        seen[word] += 1
-                    for _, word, cut, _ in line_words(text, gone, goes_on):
-                        if (cut or INNER.search(word)) and word not in seen:
-                            seen[word] = 0  # known, but not a witness
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "key": [canon(w) for w in seen]}, columns=["word", "n", "key"]).astype({"n": "int64"})
-
-        counted = self.pages.select("text", "furniture", "goes_on").mapInPandas(count, "word string, n long, key string").groupBy("word", "key").agg(F.sum("n").alias("n"))
-        self.words = materialize(counted, "scan-words")
-        self.keys = self.words.groupBy("key").agg(F.sum("n").alias("n"))
-        most = self.words.orderBy(F.desc("n"), "word")
-        # vectors are of case-folded words: a misread word is compared with every form of the true one, not with that at a sentence's start
-        often = self.words.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-        contexts = {r["word"]: i for i, r in enumerate(often.limit(CONTEXTS).select("word").collect())}
-        signs = np.where(np.random.default_rng(5).random((len(contexts), DIM)) < 0.5, -1.0, 1.0)
+    def _read(self, pages: DataFrame, known: DataFrame) -> DataFrame:
+        """Every page as its furniture, words and breaks, and as further rows the words broken at the ends of pages."""
 
-        def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts: dict[str, list[str]] = {}
+            for frame in frames:
+                rows = []
+                for page_id, source_id, number, text, keys in frame[["page_id", "source_id", "page_number", "text", "known"]].itertuples(index=False):
+                    gone = furniture(text, set(keys) if keys is not None else set())
+                    words, breaks, first, last = read_page(text, gone, parts)
+                    rows.append((page_id, source_id, None if pd.isna(number) else int(number), gone, first, *(last or (None, None, None)), *(list(x) for x in (zip(*words) if words else ((),) * 5)), breaks))
+                if len(parts) > 500_000:
+                    parts.clear()
+                yield pd.DataFrame(rows, columns=PAGE_COLUMNS).astype({"page_number": "Int64", "open_line": "Int64"})
+
+        def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                names: dict[str, int] = {}
-                at, ctx = [], []
-                for text, gone, goes_on in frame[["text", "furniture", "goes_on"]].itertuples(index=False):
-                    words = [w.lower() for w in page_words(text, gone, goes_on)]
-                    ids = [contexts.get(w, -1) for w in words]
-                    for i, w in enumerate(words):
-                        me = names.setdefault(w, len(names))
-                        for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)):
-                            if j != i and ids[j] >= 0:
-                                at.append(me)
-                                ctx.append(ids[j])
-                vec = np.zeros((len(names), DIM))
-                if at:
-                    flat = np.asarray(at) * len(contexts) + np.asarray(ctx)
-                    pair, times = np.unique(flat, return_counts=True)
-                    np.add.at(vec, pair // len(contexts), signs[pair % len(contexts)] * times[:, None])
-                yield pd.DataFrame({"word": list(names), **{f"v{d}": vec[:, d] for d in range(DIM)}})
-
-        schema = "word string, " + ", ".join(f"v{d} double" for d in range(DIM))
-        vectors = self.pages.select("text", "furniture", "goes_on").mapInPandas(index, schema).groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIM)])
-        vectors = vectors.select("word", F.array(*[F.col(f"v{d}") for d in range(DIM)]).alias("v"))
+                rows = []
+                for page_id, source_id, number, line, token, before, goes_on in frame[["page_id", "source_id", "page_number", "open_line", "open_token", "open_before", "goes_on"]].itertuples(index=False):
+                    words, breaks = close_page(int(line), token, goes_on, {})
+                    words = [(w, -1, BESIDES, 0, -1) for w in before] + words
+                    rows.append((page_id, source_id, None if pd.isna(number) else int(number), [], None, None, None, None, *(list(x) for x in (zip(*words) if words else ((),) * 5)), breaks))
+                yield pd.DataFrame(rows, columns=PAGE_COLUMNS).astype({"page_number": "Int64", "open_line": "Int64"})
+
+        whole = materialize(pages.join(known, "page_id", "left").mapInPandas(read, PAGE), "scan-pages")
+        following = whole.groupBy("source_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min_by("first_token", "page_id").alias("goes_on"))
+        ends = whole.where("open_token is not null").select("page_id", "source_id", "page_number", "open_line", "open_token", "open_before").join(following, ["source_id", "page_number"], "left").mapInPandas(close, PAGE)
+        self.whole = whole
+        return whole.unionByName(materialize(ends, "scan-page-ends"))
+
+    def _learn(self) -> None:
+        """Counts of words and keys, what words are linked to, and the misread occurrences with their corrections."""
+
+        @F.pandas_udf("string")
+        def key_of(words: pd.Series) -> pd.Series:
+            return words.map(canon)
 
         @F.pandas_udf("array<string>")
         def other_keys(words: pd.Series) -> pd.Series:
             return words.map(lambda w: sorted({canon(w), *canon_variants(w)}))
 
-        folded = Window.partitionBy("key", F.lower("word"))
-        lead = self.words.withColumn("folded", F.sum("n").over(folded)).groupBy("key").agg(F.max_by("word", F.struct("folded", "n", "word")).alias("right"), F.max("folded").alias("right_n"))
-        rare = self.words.select("word", "n", F.explode(other_keys("word")).alias("key"))
-        linked = rare.join(lead, "key").where((F.lower("word") != F.lower("right")) | F.col("word").rlike("[a-zà-ÿ][A-Z]"))
-        linked = linked.where((F.col("word") != F.col("right")) & (F.col("n") * F.when(F.col("word").rlike(SHAPE), 1.5).when(F.length("word") <= 3, 30).otherwise(12) <= F.col("right_n")) & (F.col("right_n") >= 5))
-        cos = _cosine(F.col("a.v"), F.col("b.v"))
-        judged = linked.alias("l").join(vectors.alias("a"), F.lower("l.word") == F.col("a.word"), "left").join(vectors.alias("b"), F.lower("l.right") == F.col("b.word"), "left").select("l.*", cos.alias("cos"))
-        # too few contexts to judge by: the frequencies decide alone
-        sure = judged.where((F.col("n") < 4) | F.col("cos").isNull() | (F.col("cos") >= 0.2) | F.col("word").rlike(SHAPE))
-        best = sure.groupBy("word").agg(F.max_by("right", F.struct(F.col("right_n") * (1.1 + F.coalesce("cos", F.lit(0.0))), "right")).alias("right"))
-        shaped = self.words.where(F.col("word").rlike(SHAPE)).select("word").join(best, "word", "left_anti").withColumn("right", F.lit(None).cast("string"))
-        self.misread = materialize(best.unionByName(shaped), "scan-misread")
-        # at most COMMON words that are right, which need no join
-        plain = most.limit(COMMON).select("word").join(self.misread, "word", "left_anti")
-        self.common = spark.sparkContext.broadcast(frozenset(r["word"] for r in plain.collect()))
-
-    def _marks(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        common = self.common
-
-        def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for page_id, text, gone, goes_on in frame[["page_id", "text", "furniture", "goes_on"]].itertuples(index=False):
-                    out += [(page_id, *x) for x in line_words(text, gone, goes_on) if x[2] or x[1] not in common.value]
-                yield pd.DataFrame(out, columns=["page_id", "line_no", "word", "cut", "next_line"])
-
-        def breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for page_id, text, gone, goes_on in frame[["page_id", "text", "furniture", "goes_on"]].itertuples(index=False):
-                    out += [(page_id, *b) for b in page_breaks(text, gone, goes_on)]
-                yield pd.DataFrame(out, columns=["page_id", "line_no", "sign", "joined", "hyphened", "lower"])
-
-        all_words = self.pages.select("page_id", "text", "furniture", "goes_on").mapInPandas(tokens, "page_id long, line_no int, word string, cut int, next_line int")
-        all_breaks = self.pages.select("page_id", "text", "furniture", "goes_on").mapInPandas(breaks, "page_id long, line_no int, sign string, joined string, hyphened string, lower boolean")
-        heads = self.pages.select("page_id", F.explode("furniture").alias("line_no"))
-        return heads, all_breaks, all_words
-
-    def faults(self) -> DataFrame:
-        """(page_id, line_no, fault)."""
-        heads, breaks, words = self._marks()
+        each = self.pages.select(F.explode(F.arrays_zip("words", "kinds")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.kinds").alias("kind")).where(F.col("kind") < HALF)
+        counted = each.groupBy("word").agg(F.sum((F.col("kind") <= SPELLED).cast("long")).alias("n"))
+        self.words = materialize(counted.withColumn("key", key_of("word")), "scan-words")
+        self.keys = self.words.groupBy("key").agg(F.sum("n").alias("n"))
+        # forms of one word in upper and lower case count together; the most frequent one stands for it
+        forms = self.words.where("n > 0").groupBy("key", F.lower("word").alias("folded")).agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.sum("n").alias("right_n"))
+        lead = forms.join(self.keys.withColumnRenamed("n", "key_n"), "key").where((F.col("right_n") >= 3) & (F.col("right_n") * SHARE >= F.col("key_n"))).select("key", "folded", "right", "right_n")
+        rare = self.words.select("word", "n", F.col("word").rlike(SHAPE).alias("shaped"), F.explode(other_keys("word")).alias("key"))
+        linked = rare.join(lead, "key").where(((F.lower("word") != F.col("folded")) | F.col("word").rlike("[a-zà-ÿ][A-Z]")) & (F.col("word") != F.col("right")) & (F.col("right_n") >= 2 * F.col("n")))
+        odds = F.log2(F.col("right_n") / F.greatest("n", F.lit(1))) + F.when(F.col("shaped"), SHAPED).otherwise(0.0) - F.when(F.length("word") <= 3, SHORT).otherwise(0.0)
+        # what no context could make enough of is no candidate
+        linked = linked.withColumn("odds", odds).where(F.col("odds") + CONTEXT >= ENOUGH).groupBy("word", "right").agg(F.max("folded").alias("folded"), F.max("n").alias("n"), F.max("odds").alias("odds"))
+        shaped = self.words.where(F.col("word").rlike(SHAPE)).select("word")
+        self.linked = materialize(linked, "scan-linked")
+        suspects = materialize(self.linked.select("word").unionByName(shaped).distinct(), "scan-suspects")
+        self._contexts(suspects)
+        vectors = self.vectors
+        right = self.linked.join(vectors.select(F.col("word").alias("folded"), F.col("v").alias("right_v")), "folded", "left")
+        candidates = right.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("odds", "right", "right_v")), asc=False).alias("candidates"))
+        known = suspects.join(candidates, "word", "left").join(vectors.select(F.col("word").alias("lower"), F.col("v").alias("own_v")), F.lower("word") == F.col("lower"), "left").select("word", "n", "own_v", "candidates")
+        judged = self.occurrences.join(known, "word").mapInPandas(judge, "page_id long, line_no int, word string, cut int, next_line int, right string, misread boolean")
+        self.misread = materialize(judged.where("misread").drop("misread"), "scan-misread")
+
+    def _contexts(self, suspects: DataFrame) -> None:
+        """Vectors of the linked words, and of the surroundings of each occurrence of a suspect."""
+        spark = self.spark
+        sketch = np.zeros(SKETCH)
+        cells = self.words.groupBy(F.pmod(F.crc32(F.lower("word")), F.lit(SKETCH)).alias("cell")).agg(F.sum("n").alias("n")).toArrow()
+        np.add.at(sketch, cells["cell"].to_numpy(), cells["n"].to_numpy())
+        weigh = np.where(sketch >= 2, np.minimum(1.0, np.sqrt(SAMPLE * max(sketch.sum(), 1.0) / np.maximum(sketch, 1.0))), 0.0).astype("f4")
+
+        def bits(words: DataFrame) -> np.ndarray:
+            got = np.zeros(BLOOM, bool)
+            got[words.select(F.pmod(F.crc32("w"), F.lit(BLOOM)).alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+            return got
+
+        linked = self.linked.select(F.explode(F.array(F.lower("word"), "folded")).alias("w"))
+        shared = spark.sparkContext.broadcast((weigh, np.packbits(bits(linked)), np.packbits(bits(suspects.select(F.col("word").alias("w"))))))
+        contexts = self.pages.select("page_id", "words", "kinds", "lines", "cuts", "nexts").mapInArrow(lambda batches: surroundings(batches, *shared.value), "word string, v array<float>, page_id long, line_no int, cut int, next_line int, x binary")
+        contexts = materialize(contexts, "scan-contexts")
+        sums = contexts.where("v is not null").groupBy("word").agg(*[F.sum(F.col("v")[d]).alias(f"v{d}") for d in range(DIM)])
+        vectors = sums.select("word", F.array(*[F.col(f"v{d}") for d in range(DIM)]).alias("v"))
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        self.vectors = vectors.select("word", F.struct(size.alias("size"), F.transform("v", lambda x: F.coalesce(F.try_divide(x * 127, size), F.lit(0.0)).cast("tinyint")).alias("q")).alias("v"))
+        self.occurrences = contexts.where("x is not null").select("word", "page_id", "line_no", "cut", "next_line", "x")
+
+    def _broken_lines(self) -> DataFrame:
+        """(page_id, line_no) of the lines that end inside a word."""
+        breaks = self.pages.select("page_id", F.explode("breaks").alias("b")).select("page_id", "b.*")
         joined = self.keys.select(F.col("key").alias("joined"), F.col("n").alias("n_joined"))
         hyphened = self.keys.select(F.col("key").alias("hyphened"), F.col("n").alias("n_hyphened"))
         judged = breaks.join(joined, "joined", "left").join(hyphened, "hyphened", "left")
         n_joined, n_hyphened = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_hyphened", F.lit(0))
-        broken = F.col("sign").isin(list(SURE_BREAKS)) | F.when(n_joined != n_hyphened, n_joined > n_hyphened).otherwise(F.col("lower"))
-        found = words.join(self.misread, "word")
+        return judged.where(F.col("sign").isin(list(SURE_BREAKS)) | F.when(n_joined != n_hyphened, n_joined > n_hyphened).otherwise(F.col("lower"))).select("page_id", "line_no")
+
+    def faults(self) -> DataFrame:
+        """(page_id, line_no, fault)."""
         later = (F.col("cut") > 0) & (F.expr("substring(word, 1, cut)") == F.expr("substring(right, 1, cut)"))
-        glyphs = found.withColumn("line_no", F.when(later, F.col("next_line")).otherwise(F.col("line_no"))).where("line_no >= 0")
+        glyphs = self.misread.withColumn("line_no", F.when(later, F.col("next_line")).otherwise(F.col("line_no"))).where("line_no >= 0")
         return (
-            heads.select("page_id", "line_no", F.lit("furniture").alias("fault"))
-            .unionByName(judged.where(broken).select("page_id", "line_no", F.lit("hyphen").alias("fault")))
+            self.pages.select("page_id", F.explode("furniture").alias("line_no"), F.lit("furniture").alias("fault"))
+            .unionByName(self._broken_lines().select("page_id", "line_no", F.lit("hyphen").alias("fault")))
             .unionByName(glyphs.select("page_id", "line_no", F.lit("glyph").alias("fault")).distinct())
         )
 
@@ -402,23 +556,21 @@ class Scans:
         """(source_id, page_id, page_number, paragraph_no, paragraph): the text reflowed, without furniture,
         broken words joined and misread words corrected. A paragraph stands with the page it starts on and takes
         in the beginning of the next page where it goes on there; one that fills a page whole is cut after it."""
-        _, breaks, words = self._marks()
-        fixes = words.where("cut = 0").select("page_id", "word").distinct().join(self.misread.where("right is not null"), "word").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("fixes"))
-        joined = self.keys.select(F.col("key").alias("joined"), F.col("n").alias("n_joined"))
-        hyphened = self.keys.select(F.col("key").alias("hyphened"), F.col("n").alias("n_hyphened"))
-        n_joined, n_hyphened = F.coalesce("n_joined", F.lit(0)), F.coalesce("n_hyphened", F.lit(0))
-        broken = F.col("sign").isin(list(SURE_BREAKS)) | F.when(n_joined != n_hyphened, n_joined > n_hyphened).otherwise(F.col("lower"))
-        cut_lines = breaks.join(joined, "joined", "left").join(hyphened, "hyphened", "left").where(broken).select("page_id", "line_no").distinct()
+        right = self.misread.where("right is not null")
+        # a correction is of a word in a line
+        fixes = right.where("cut = 0").groupBy("page_id", F.concat_ws(" ", "line_no", "word").alias("at")).agg(F.min("right").alias("right")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "right"))).alias("fixes"))
+        cut_lines = self._broken_lines().distinct()
         cuts = cut_lines.groupBy("page_id").agg(F.collect_set("line_no").alias("cuts"))
         # corrections of broken words: for the line that begins them, and over a page's end for the next page too
-        halved = words.where("cut > 0").join(self.misread.where("right is not null"), "word").join(cut_lines, ["page_id", "line_no"])
+        halved = right.where("cut > 0").join(cut_lines, ["page_id", "line_no"])
         halved = materialize(halved.select("page_id", "line_no", "next_line", F.struct("word", "cut", "right").alias("fix")), "scan-halved")
         ends = halved.groupBy("page_id", "line_no").agg(F.min("fix").alias("fix")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "fix"))).alias("ends"))
-        numbers = self.pages.select("page_id", "source_id", "page_number").where("page_number is not null")
+        pages = self.whole.select("page_id", "source_id", "page_number", "furniture")
+        numbers = pages.drop("furniture").where("page_number is not null")
         # where page numbers repeat, the least page_id gives and takes, as with paragraphs
         giving = halved.where("next_line < 0").join(numbers, "page_id").groupBy("source_id", (F.col("page_number") + 1).alias("page_number")).agg(F.min_by("fix", "page_id").alias("begins"))
         begins = numbers.groupBy("source_id", "page_number").agg(F.min("page_id").alias("page_id")).join(giving, ["source_id", "page_number"]).select("page_id", "begins")
-        whole = self.pages.join(fixes, "page_id", "left").join(cuts, "page_id", "left").join(ends, "page_id", "left").join(begins, "page_id", "left")
+        whole = pages.join(self.texts, "page_id").join(fixes, "page_id", "left").join(cuts, "page_id", "left").join(ends, "page_id", "left").join(begins, "page_id", "left")
 
         def flow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -446,83 +598,6 @@ class Scans:
         return out.where("given is null or paragraph_no > 0").select("source_id", "page_id", "page_number", "paragraph_no", "paragraph")
 
 
-def _cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
-
-
-def _halves(body: list[tuple[int, list[str]]], lines: list[str], goes_on: str | None):
-    """Line numbers with a word that goes on: {line: (first half, second half)}."""
-    out = {}
-    for k, (i, tokens) in enumerate(body):
-        if break_sign(lines[i]):
-            after = body[k + 1][1][0] if k + 1 < len(body) else goes_on
-            if after:
-                a, b = tokens[-1][:-1], after
-                if b and (b[0].isalnum() or b[0] in "@!"):
-                    out[i] = (a.lstrip(EDGE), b)
-    return out
-
-
-def line_words(text: str, gone, goes_on: str | None) -> list[tuple[int, str, int, int]]:
-    """(line, word, cut, next line): the words of each body line. A broken word comes whole, ``cut`` being
-    the length of its first half, 0 for unbroken words; next line is -1 on another page. The halves of what
-    may be spelled with a hyphen come as words of their own lines too."""
-    lines = text.split("\n")
-    body = body_tokens(text, set(map(int, gone)))
-    halves = _halves(body, lines, goes_on)
-    out: list[tuple[int, str, int, int]] = []
-    carried = False
-    for k, (i, tokens) in enumerate(body):
-        for t in tokens[1 if carried else 0 : len(tokens) - (i in halves)]:
-            out += [(i, w, 0, -1) for w in words_of(t)]
-        carried = i in halves
-        if carried:
-            a, b = halves[i]
-            then = body[k + 1][0] if k + 1 < len(body) else -1
-            head, tail = words_of(a), words_of(_clean_tail(b))
-            lead, rest = PARTS.split(a)[-1].lstrip(EDGE), PARTS.split(_clean_tail(b))[0]
-            if lead and rest:
-                out += [(i, w, len(lead), then) for w in words_of(lead + rest)]
-            out += [(i, w, 0, -1) for w in head[:-1]] + ([(then, w, 0, -1) for w in tail[1:]] if then >= 0 else [])
-            if lines[i].rstrip()[-1] == "-" and min(len(lead), len(rest)) >= 3:
-                out += [(i, w, 0, -1) for w in head[-1:]] + ([(then, w, 0, -1) for w in tail[:1]] if then >= 0 else [])
-    return out
-
-
-def _clean_tail(token: str) -> str:
-    return token.rstrip(EDGE + "!")
-
-
-def page_words(text: str, gone, goes_on: str | None) -> list[str]:
-    """Words of the page in order for counting, with hyphenated forms whole too; broken words are left out."""
-    lines = text.split("\n")
-    body = body_tokens(text, set(map(int, gone)))
-    halves = _halves(body, lines, goes_on)
-    out: list[str] = []
-    skip = False
-    for i, tokens in body:
-        for t in tokens[1 if skip else 0 : len(tokens) - (i in halves)]:
-            parts = words_of(t)
-            out += parts
-            if len(parts) > 1 and "-" in t:
-                out.append(_clean(t))
-        skip = i in halves
-    return out
-
-
-def page_breaks(text: str, gone, goes_on: str | None) -> list[tuple[int, str, str, str, bool]]:
-    lines = text.split("\n")
-    body = body_tokens(text, set(map(int, gone)))
-    out = []
-    for i, (a, b) in _halves(body, lines, goes_on).items():
-        a, b = re.split(r"['’]", a)[-1], re.split(r"['’]", _clean_tail(b))[0]
-        if a[-1:].isdigit() and b[:1].isdigit():
-            continue
-        out.append((i, break_sign(lines[i]), canon(a + b), canon(f"{a}-{b}"), b[:1].islower() or not b[:1].isupper()))
-    return out
-
-
 def _mended(fix) -> tuple[str, str, str, str]:
     """The halves of a broken word, and of what it is corrected to."""
     word, cut, right = fix["word"], int(fix["cut"]), fix["right"]
@@ -532,7 +607,7 @@ def _mended(fix) -> tuple[str, str, str, str]:
 
 def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str], ends: dict | None = None, begins=None) -> tuple[list[str], str]:
     """Paragraphs of a page, parted by blank or indented lines, and what parts the last from what follows.
-    ``fixes`` are corrections of whole words, ``ends`` those of words broken at the end of a line, ``begins``
+    ``fixes`` are corrections of whole words, by line and word, ``ends`` those of words broken at the end of a line, ``begins``
     that of a word broken at the end of the page before, each with word, length of the first half, and right."""
     paragraphs: list[str] = []
     glue, new = "", True
@@ -544,7 +619,7 @@ def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str], end
         if not line.strip():
             new = True
             continue
-        tokens = TOKEN.findall(line)
+        tokens = line.split()
         ending = ends.get(i) if i in cuts else None
         shown = []
         for n, t in enumerate(tokens):
@@ -564,8 +639,8 @@ def reflow(text: str, gone: set[int], cuts: set[int], fixes: dict[str, str], end
                     done.add(k)
             for k in range(0, len(parts), 2):
                 core = parts[k].strip(EDGE)
-                if k not in done and core in fixes:
-                    parts[k] = parts[k].replace(core, fixes[core])
+                if k not in done and (fix := fixes.get(f"{i} {core}")) is not None:
+                    parts[k] = parts[k].replace(core, fix)
             shown.append("".join(parts))
         begins = ending
         joined = " ".join(shown)

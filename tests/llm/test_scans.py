@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from lectern.llm.scans import Scans, _alike, canon, furniture, head_key, key_pieces, key_probes, line_words, opening, page_breaks
+from lectern.llm import scans
+from lectern.llm.scans import Scans, _alike, canon, furniture, head_key, key_pieces, key_probes, opening, read_page
 
 BODY = "The librarians collected the letters in the morning and\nnobody borrowed the manuscript from the museum again."
 
@@ -68,19 +69,19 @@ def test_broken_words_are_corrected(spark):
 
 
 def test_vectors_are_of_all_forms_of_a_word(spark):
-    inside = "In the old harbour {} mended the nets and the ropes."
+    inside = "In the old harbour {} mended the nets again."
     texts = ["Nobody paints every lamp, every door.\n" + inside.format("nobody") + "\nAll was well."] * 60 + ["Nobody paints every lamp, every door.\nAll was well."] * 10
     texts += [inside.format("uobody") + "\nAll was well."] * 5
     got = Scans(frame(spark, [(i, i, 1, t) for i, t in enumerate(texts)])).misread.collect()
-    assert [r.word for r in got] == ["uobody"]
+    assert {r.word for r in got} == {"uobody"} and len(got) == 5
 
 
-def test_vectors_are_of_all_forms_of_a_word(spark):
-    inside = "In the old harbour {} mended the nets again."
-    texts = ["Nobody paints every lamp, every door.\n" + inside.format("nobody") + "\nAll was well."] * 60 + ["Nobody paints every lamp, every door.\nAll was well."] * 10
-    texts += [inside.format("uobody") + "\nAll was well."] * 5
+def test_the_context_of_each_occurrence_decides(spark):
+    """The same word is left where its neighbours are its own and corrected where they are another word's."""
+    bear, hear = "the brown {} sleeps under old trees", "they often {} loud bells ringing twice"
+    texts = [hear.format("hear") + "."] * 60 + [bear.format("bear") + "."] * 12 + [hear.format("bear") + "."]
     got = Scans(frame(spark, [(i, i, 1, t) for i, t in enumerate(texts)])).misread.collect()
-    assert [r.word for r in got] == ["uobody"]
+    assert [(r.page_id, r.word, r.right) for r in got] == [(72, "bear", "hear")]
 
 
 def test_keys_and_parts():
@@ -88,8 +89,10 @@ def test_keys_and_parts():
     assert head_key("9 2   T O O L S") == head_key("92 tools") and head_key("12   NOTES") == head_key("Notes    7")
     lines = ["Chapter 3", "Maps", "", "Body text here."]
     assert opening(lines, [0, 1, 3]) == 2 and furniture("\n".join(lines), []) == []
-    assert page_breaks("a manu-\nscript", [], None)[0][:2] == (0, "-")
-    assert ("manuscript", 4) in [(w, c) for _, w, c, _ in line_words("a manu-\nscript", [], None)]
+    assert canon("gedrnckt") == canon("gedruckt") and canon("parccl") == canon("parcel")
+    words, breaks, first, last = read_page("a manu-\nscript", [])
+    assert breaks[0]["sign"] == "-" and ("manuscript", 0, scans.BROKEN, 4, 1) in words and first == "a" and last is None
+    assert read_page("we saw the manu-", [])[3] == (0, "manu-", ["we", "saw", "the"])
 
 
 def test_misread_head_of_a_book_with_many_heads(spark):
