@@ -41,8 +41,10 @@ WINDOW = 3
 SAMPLE = 1e-3  # contexts above this share of all words weigh less
 SKETCH = 1 << 18  # counters of the word counts that weigh contexts; collisions only lower a weight
 BLOOM = 1 << 22  # bits of the filter in front of the join with linked words; collisions only cost time
+RATIO = 4  # a candidate occurs so many times as often as the word
 SHARE = 8  # a dominant word has an eighth of the occurrences of its key, so a key has eight at most
-CONTEXT, SHAPED, SHORT, ENOUGH = 3.2, 3.0, 1.3, 4.6  # what context, impossible shape and shortness add to log2 of the odds, and what is enough
+CONTEXT, SHAPED, SHORT, ENOUGH = 10.0, 3.0, 1.3, 4.6  # what context, impossible shape and shortness add to log2 of the odds, and what is enough
+NOISE = -0.05  # one window's projection errs by about 0.12, so its disagreement counts no more
 
 # Kinds of words of a page.
 WORD, SPELLED, BROKEN, HALF, BESIDES = range(5)  # as it stands, the hyphenated whole (counted only), a broken word (not counted), half of one (not counted), context only
@@ -398,7 +400,7 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 there = against = 0.0
                 if size and c["right_v"] is not None:
                     v = np.asarray(c["right_v"]["q"], "f4") / 127
-                    there = float(v @ x) / size
+                    there = max(float(v @ x) / size, NOISE)
                     # the word's own uses count against a candidate as far as they differ from the candidate's
                     against = here * (1 - max(float(v @ elsewhere), 0.0)) if here else 0.0
                 best = max(best, (c["odds"] + CONTEXT * (there - against), c["right"]))
@@ -495,10 +497,9 @@ class Scans:
         forms = self.words.where("n > 0").groupBy("key", F.lower("word").alias("folded")).agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.sum("n").alias("right_n"))
         lead = forms.join(self.keys.withColumnRenamed("n", "key_n"), "key").where((F.col("right_n") >= 3) & (F.col("right_n") * SHARE >= F.col("key_n"))).select("key", "folded", "right", "right_n")
         rare = self.words.select("word", "n", F.col("word").rlike(SHAPE).alias("shaped"), F.explode(other_keys("word")).alias("key"))
-        linked = rare.join(lead, "key").where(((F.lower("word") != F.col("folded")) | F.col("word").rlike("[a-zà-ÿ][A-Z]")) & (F.col("word") != F.col("right")) & (F.col("right_n") >= 2 * F.col("n")))
+        linked = rare.join(lead, "key").where(((F.lower("word") != F.col("folded")) | F.col("word").rlike("[a-zà-ÿ][A-Z]")) & (F.col("word") != F.col("right")) & (F.col("right_n") >= RATIO * F.col("n")))
         odds = F.log2(F.col("right_n") / F.greatest("n", F.lit(1))) + F.when(F.col("shaped"), SHAPED).otherwise(0.0) - F.when(F.length("word") <= 3, SHORT).otherwise(0.0)
-        # what no context could make enough of is no candidate
-        linked = linked.withColumn("odds", odds).where(F.col("odds") + CONTEXT >= ENOUGH).groupBy("word", "right").agg(F.max("folded").alias("folded"), F.max("n").alias("n"), F.max("odds").alias("odds"))
+        linked = linked.withColumn("odds", odds).groupBy("word", "right").agg(F.max("folded").alias("folded"), F.max("n").alias("n"), F.max("odds").alias("odds"))
         shaped = self.words.where(F.col("word").rlike(SHAPE)).select("word")
         self.linked = materialize(linked, "scan-linked")
         suspects = materialize(self.linked.select("word").unionByName(shaped).distinct(), "scan-suspects")
