@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.llm.mixing import Mixture
-from lectern.llm.neighbours import NeighbourIndex, sign_vectors
+from lectern.llm.neighbours import REACH_BITS, NeighbourIndex, sign_vectors
 from lectern.llm.newtext import new_text
 from lectern.llm.packing import fill_report, pack_texts
 from lectern.llm.scans import Scans
@@ -36,7 +36,7 @@ def p1_topk(spark, sf):
 
 @_query
 def p1_bits_topk(spark, sf):
-    index = NeighbourIndex(table(spark, sf, "vec_documents_bin"), "vec_rowid", "embedding", decode=sign_vectors)
+    index = NeighbourIndex(table(spark, sf, "vec_documents_bin"), "vec_rowid", "embedding", decode=sign_vectors, reach=REACH_BITS)
     return index.topk().withColumnRenamed("id", "vec_rowid")
 
 
