@@ -94,7 +94,8 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         frame["container"] = pack(frame["n_tokens"].to_numpy(), capacity) * shards + frame["shard"].to_numpy()
         return frame[["container", "id", "piece_no", "n_pieces", "start_token", "n_tokens"]]
 
-    packed = parts.groupBy("shard").applyInPandas(fill, "container long, id long, piece_no int, n_pieces int, start_token int, n_tokens int")
+    # as many partitions as shards, which are not coalesced
+    packed = parts.repartition(shards, "shard").groupBy("shard").applyInPandas(fill, "container long, id long, piece_no int, n_pieces int, start_token int, n_tokens int")
     return packed.withColumnRenamed("id", id_col)
 
 

@@ -116,3 +116,19 @@ def test_empty(spark):
     assert m.draws().count() == 0 and [r.actual_tokens for r in m.report().collect()] == [0]
     m = Mixture(docs(spark, [(1, "x", "a", 0, 0, "")]), spark.createDataFrame([], "source string, weight int, max_repeats int"))
     assert m.report().count() == 0
+
+
+def test_buckets_are_even_whatever_the_quality(spark):
+    """Documents of tables and code (quality 0.05) beside good ones: no bucket has over 1 % of a source."""
+    rows = spark.range(40_000).selectExpr("id doc_id", "if(id % 3 = 0, 'plain words here', '0123456789;;{}[]()==++') text", "if(id % 2 = 0, 'a', 'b') source", "1 id", "1 n", "'k' bucket")
+    rows = rows.selectExpr("doc_id", "if(source = 'b', '0123456789;;{}[]()==++', text) text", "source", "id", "n", "bucket")
+    m = Mixture(rows, spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "source string, weight int, max_repeats int"))
+    for source in "ab":
+        assert m.buckets.where(f"source = '{source}'").agg({"documents": "max"}).first()[0] < 0.01 * 20_000
+
+
+def test_missing_weights_and_repeats(spark):
+    rows = docs(spark, [(i, "some words", s, 0, 0, "") for i, s in enumerate("aabbc")])
+    targets = spark.createDataFrame([("a", 1, None), ("b", None, 1), ("c", 1, 0)], "source string, weight int, max_repeats int")
+    got = {r.source: (r.actual_tokens, r.reachable) for r in Mixture(rows, targets).report().collect()}
+    assert got == {"a": (0, False), "b": (0, True), "c": (0, False)}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lectern.llm.splitting import cut_level, pieces, split_items
+from lectern.llm.splitting import Units, pieces, split_items
 
 
 def rebuilt(text, limit, overlap):
@@ -32,7 +32,7 @@ def test_cuts_at_paragraphs_where_it_can():
     [("a" * 1999 + "\n \t\n" + "b" * 2000, "paragraph"), ("a" * 1500 + "\n" + "b" * 1500, "line"), ("It is so. " * 300, "sentence"), ("word " * 500, "word"), ("x" * 2001, "none"), ("a" * 1500 + "\r\n\r\n" + "b" * 600, "paragraph")],
 )
 def test_cut_level(text, want):
-    assert cut_level(text, 2000) == want
+    assert Units(text).cut_level(2000) == want
 
 
 def test_table(spark):
