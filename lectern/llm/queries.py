@@ -30,8 +30,8 @@ def p1_found(spark, sf):
 
 # brute force over all pairs: for the small tables of the comparison only
 ORACLE["p1_found"] = """
-WITH v AS (SELECT vec_rowid, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM vec_documents
-           WHERE vec_rowid IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH v AS (SELECT vec_rowid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM vec_documents
+           WHERE vec_rowid IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT a.vec_rowid AS i, b.vec_rowid AS j, round(list_cosine_similarity(a.e, b.e), 12) AS sim FROM v a, v b WHERE a.vec_rowid <> b.vec_rowid),
 t AS (SELECT i, j, sim FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 10)
 SELECT x.i AS rowid_a, x.j AS rowid_b FROM t x JOIN t y ON x.i = y.j AND x.j = y.i WHERE x.i < x.j AND x.sim >= 0.9
