@@ -1,29 +1,33 @@
 """The engine as an object: search, list, inspect, index, prune over a store of Parquet tables.
 
-Every change writes the new tables beside the old ones and then moves a pointer, so
-a failed index run leaves the store as it was.
+Every change writes the tables it touches beside the old ones and then publishes a new
+version, so a failed index run leaves the store as it was; a change that meets another
+writer's is done again on the other's version. Sign bits are written with the vectors.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import time
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.config import Config
-from lectern.functions import chunking, paths
+from lectern.functions import chunking, dates, paths
 from lectern.functions.code import code_blocks_udf
-from lectern.functions.embedding import Embedder, HashEmbedder, embed
+from lectern.functions.embedding import Embedder, HashEmbedder, HttpEmbedder, embed, resolve_host
 from lectern.functions.parsers import PdfReader, documents_udf, parse_markdown_udf
 from lectern.operators import catalog, ingest
 from lectern.operators.filters import SearchFilters
 from lectern.operators.fusion import HybridSearch, score_text, source_uri
-from lectern.session import materialize, with_fields
+from lectern.session import materialize
 from lectern.sources import files, git, sqlite
+from lectern.storage import Conflict, TableStore
 
 SCHEMAS = {
     "collections": "id long, collection_name string, collection_type string, description string, paths string, created_at string",
@@ -31,42 +35,76 @@ SCHEMAS = {
     "documents": "doc_id long, source_id long, collection_id long, chunk_index int, title string, content string, metadata string, created_at string",
     "vec_documents": "vec_rowid long, document_id long, embedding array<float>",
 }
+BITS = "vec_rowid long, document_id long, embedding binary"
+CHUNK_BITS = 24  # of a document's id, for its number within the source
+
+
+def _retried(change):
+    """Do the change again when another writer has published in between."""
+
+    @functools.wraps(change)
+    def run(self, *args, **options):
+        for attempt in range(self.attempts):
+            try:
+                return change(self, *args, **options)
+            except Conflict:
+                if attempt + 1 == self.attempts:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+
+    return run
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, pdf: PdfReader | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, pdf: PdfReader | None = None, ocr: Callable | None = None, progress: Callable[[str, dict], None] | None = None, attempts: int = 5):
+        """``embedder``: by default the model server of the configured hosts, without any a hashing stand-in;
+        ``progress`` is told the name and the counts of every index step."""
         self.spark, self.config = spark, config or Config()
-        self.embedder = embedder or HashEmbedder(self.config.embedding_dimensions)
-        self.pdf = pdf
+        c = self.config
+        if embedder is None:
+            embedder = HttpEmbedder(resolve_host(c.embedding_hosts, c.embedding_model), c.embedding_model, c.embedding_batch_size) if c.embedding_hosts else HashEmbedder(c.embedding_dimensions)
+        self.embedder, self.pdf, self.ocr, self.progress, self.attempts = embedder, pdf, ocr, progress or (lambda name, counts: None), attempts
+        self.files = TableStore(spark, self.config.store())
+        self._base: tuple[int, dict[str, str], dict[str, DataFrame]] = (0, {}, {})
 
     # the store -----------------------------------------------------------------
-    def _version(self) -> int:
-        try:
-            with open(os.path.join(self.config.store(), "current"), encoding="utf-8") as f:
-                return int(f.read())
-        except (OSError, ValueError):
-            return 0
-
     def table(self, name: str) -> DataFrame:
-        path = os.path.join(self.config.store(), f"v{self._version()}", name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if os.path.exists(path) else self.spark.createDataFrame([], SCHEMAS[name])
+        _, folders = self.files.manifest()
+        return self.files.read(folders.get(name), BITS if name == "vec_documents_bin" else SCHEMAS[name])
 
     def store(self) -> catalog.Store:
-        return catalog.Store(*[self.table(n) for n in SCHEMAS])
+        version, folders = self.files.manifest()
+        tables = {n: self.files.read(folders.get(n), schema) for n, schema in SCHEMAS.items()}
+        self._base = (version, folders, tables)
+        return catalog.Store(*tables.values())
 
     def commit(self, store: catalog.Store) -> None:
-        version = self._version() + 1
-        for name, df in zip(SCHEMAS, (store.collections, store.sources, store.documents, store.vectors)):
-            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*columns).write.mode("overwrite").parquet(os.path.join(self.config.store(), f"v{version}", name))
-        with open(os.path.join(self.config.store(), "current.new"), "w", encoding="utf-8") as f:
-            f.write(str(version))
-        os.replace(os.path.join(self.config.store(), "current.new"), os.path.join(self.config.store(), "current"))
+        """Write what differs from the version the change began from; a table that was not touched is the same object."""
+        version, folders, tables = self._base
+        folders = dict(folders)
+        for (name, schema), df in zip(SCHEMAS.items(), (store.collections, store.sources, store.documents, store.vectors)):
+            if df is not tables[name]:
+                folders[name] = self.files.write(name, df.select(*[c.split()[0] for c in schema.split(", ")]))
+        if folders.get("vec_documents") != self._base[1].get("vec_documents"):
+            vectors = self.files.read(folders["vec_documents"], SCHEMAS["vec_documents"])
+            folders["vec_documents_bin"] = self.files.write("vec_documents_bin", catalog.backfill_bits(vectors, self.config.embedding_dimensions))
+        self.files.publish(version + 1, folders)
+
+    @_retried
+    def backfill(self) -> int:
+        """Make the sign bits anew where they are missing or out of date; returns how many were."""
+        self.store()
+        wrong = catalog.vector_parity(self.table("vec_documents"), self.table("vec_documents_bin"), self.config.embedding_dimensions).count()
+        if wrong:
+            version, folders, _ = self._base
+            bits = catalog.backfill_bits(self.table("vec_documents"), self.config.embedding_dimensions)
+            self.files.publish(version + 1, folders | {"vec_documents_bin": self.files.write("vec_documents_bin", bits)})
+        return wrong
 
     # queries -------------------------------------------------------------------
     def search(self, query: str, top_k: int | None = None, filters: SearchFilters | None = None, query_vector: list[float] | None = None) -> DataFrame:
         c = self.config
-        hybrid = HybridSearch(self.table("documents"), self.table("vec_documents"), self.table("sources"), self.table("collections"), c.rrf_k, c.vector_weight, c.text_weight)
+        hybrid = HybridSearch(self.table("documents"), self.table("vec_documents"), self.table("sources"), self.table("collections"), self.table("vec_documents_bin"), c.rrf_k, c.vector_weight, c.text_weight)
         return hybrid.search(query, query_vector or self.embedder([query])[0], top_k or c.top_k, filters)
 
     def search_results(self, query: str, **options) -> list[dict]:
@@ -99,15 +137,18 @@ class Engine:
         fresh = self.spark.range(1).select(F.lit(new).cast("long").alias("id"), F.lit(name).alias("collection_name"), F.lit(kind).alias("collection_type"), F.lit(None).cast("string").alias("description"), F.lit(shown).cast("string").alias("paths"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
         return replace(s, collections=s.collections.unionByName(fresh)), new
 
+    @_retried
     def index_files(self, name: str, roots: list[str], kind: str = "project", force: bool = False) -> dict:
         """Index changed files below the roots. Everything is parsed, chunked and embedded before the
         store changes; files without text are skipped and tried again next time."""
         s, coll = self.get_or_create_collection(self.store(), name, kind, roots)
-        found = files.scan(self.spark, roots).withColumn("collection_id", F.lit(coll).cast("long")).persist()
+        scanned = files.scan_vaults(self.spark, roots, self.config.vault_exclude_folders) if name == "obsidian" else files.scan(self.spark, roots)
+        # books belong to libraries
+        found = scanned.where("source_type <> 'epub'").withColumn("collection_id", F.lit(coll).cast("long")).persist()
         try:
             total = found.count()
             changed = ingest.changed_files(found, s.sources, force)
-            parts = changed.withColumn("part", F.explode(documents_udf(self.pdf)("source_type", "content"))).select("collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "part.*")
+            parts = changed.withColumn("part", F.explode(documents_udf(self.pdf, self.ocr)("source_type", "content"))).select("collection_id", "source_path", "source_type", "file_hash", "file_modified_at", "part.*")
             stem = F.regexp_replace(paths.base_name(F.col("source_path")), r"\.[^.]*$", "")
             note = parse_markdown_udf("text", stem)
             size, overlap = self.config.chunk_size, self.config.chunk_overlap
@@ -138,15 +179,15 @@ class Engine:
         sources = catalog.upsert_sources(s.sources, done)
         old = s.sources.join(done.select("collection_id", "source_path"), ["collection_id", "source_path"], "left_semi")
         kept = catalog.delete_sources(s, old.select("id"))
-        top = s.documents.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
         new_ids = chunks.join(sources.select(F.col("id").alias("source_id"), "collection_id", "source_path"), ["collection_id", "source_path"])
-        rdd = new_ids.orderBy("source_id", "n", "k").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + top))
-        numbered = materialize(rdd.toDF(with_fields(new_ids.schema, doc_id=T.LongType())), "numbered")
-        first = numbered.groupBy("source_id").agg(F.min("doc_id").alias("_first"))
-        docs = numbered.join(first, "source_id").select("doc_id", "source_id", "collection_id", (F.col("doc_id") - F.col("_first")).cast("int").alias("chunk_index"), "title", "content", "metadata", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+        # a document's id is that of its source and its number there: no counting over all rows
+        index = F.row_number().over(Window.partitionBy("source_id").orderBy("n", "k")) - 1
+        numbered = materialize(new_ids.withColumn("chunk_index", index.cast("int")).withColumn("doc_id", F.shiftleft("source_id", CHUNK_BITS) + F.col("chunk_index")), "numbered")
+        docs = numbered.select("doc_id", "source_id", "collection_id", "chunk_index", "title", "content", "metadata", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
         vecs = numbered.select(F.col("doc_id").alias("vec_rowid"), F.col("doc_id").alias("document_id"), "embedding")
         return indexed, catalog.Store(s.collections, sources, kept.documents.unionByName(docs), kept.vectors.unionByName(vecs.select(*kept.vectors.columns)))
 
+    @_retried
     def _index_items(self, name: str, kind: str, source_type: str, items: DataFrame, force: bool, allow_late: bool = True) -> dict:
         """Items (source_path, title, body, metadata, date): those behind the watermark that the store does not
         have are chunked like mails. By default the natural key alone decides, so late rows are taken."""
@@ -169,12 +210,21 @@ class Engine:
     def index_mail(self, accounts: list[str] | None = None, force: bool = False, allow_late: bool = True) -> dict:
         out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
         for account in accounts or sqlite.mail_accounts(os.path.expanduser(self.config.mail_path)):
-            mails = sqlite.read_mails(self.spark, account)
+            since = 0 if force or allow_late else self._since("email")
+            mails = sqlite.read_mails(self.spark, account, since)
             meta = F.to_json(F.struct("sender", "recipients", "date", "folder"))
             items = mails.select(F.concat(F.lit("email://"), "message_id").alias("source_path"), F.col("subject").alias("title"), "body", meta.alias("metadata"), "date")
             out = {k: v + out[k] for k, v in self._index_items("email", "system", "email", items, force, allow_late).items()}
         return out
 
+    def _since(self, name: str) -> int:
+        """The watermark of a collection as ticks, for the source to filter by; 0 without one."""
+        coll = self.table("collections").where(F.col("collection_name") == name).select("id").first()
+        mark = catalog.watermark(self.store(), coll["id"]).first() if coll else None
+        if not mark or not mark["watermark"]:
+            return 0
+        return self.spark.range(1).select(dates.iso_to_ticks(F.lit(mark["watermark"])).alias("t")).first()["t"] or 0
+
     def index_feeds(self, accounts: list[str] | None = None, force: bool = False, allow_late: bool = True) -> dict:
         out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
         for account in accounts or sqlite.feed_accounts(os.path.expanduser(self.config.feed_path)):
@@ -187,7 +237,7 @@ class Engine:
     def index_books(self, libraries: list[str] | None = None, force: bool = False) -> dict:
         """Books by their EPUB, else their PDF where it is on disk, then their description."""
         out = {"indexed": 0, "skipped": 0, "errors": 0, "total_found": 0}
-        pdf, size, overlap = self.pdf, self.config.chunk_size, self.config.chunk_overlap
+        pdf, ocr, size, overlap = self.pdf, self.ocr, self.config.chunk_size, self.config.chunk_overlap
         for library in map(os.path.expanduser, libraries or self.config.book_libraries):
             s, coll = self.get_or_create_collection(self.store(), "calibre", "system", None)
             books = sqlite.read_books(self.spark, library)
@@ -217,7 +267,7 @@ class Engine:
                             if ext == "EPUB":
                                 parts = [(f"chapter {n}", t, base | {"format": ext, "chapter_number": n}) for n, t in parse_epub(data)]
                             elif pdf is not None:
-                                parts = [(f"page {n}", t, base | {"format": ext, "page_number": n} | ({"ocr": True} if o else {})) for n, t, o in parse_pdf(data, pdf)]
+                                parts = [(f"page {n}", t, base | {"format": ext, "page_number": n} | ({"ocr": True} if o else {})) for n, t, o in parse_pdf(data, pdf, ocr)]
                             break
                         if r.description:
                             parts.append(("description", html_to_text(r.description), json.loads(r.metadata) | {"chunk_type": "description"}))
@@ -278,6 +328,7 @@ class Engine:
             out = {k: v + out[k] for k, v in got.items()}
         return out
 
+    @_retried
     def prune_files(self, name: str) -> dict:
         """Drop the collection's sources whose files are gone; commits and other URIs stay."""
         s = self.store()
@@ -292,6 +343,7 @@ class Engine:
             self.commit(catalog.delete_sources(s, stale.select("id")))
         return result
 
+    @_retried
     def _prune_to(self, name: str, current: DataFrame | None) -> dict:
         """Drop the collection's sources that are not among the current ones; an unreadable or empty source
         prunes nothing, as a failure must never pass for an empty list."""
@@ -310,15 +362,15 @@ class Engine:
         """By the name of the collection (mail, feeds, books), else by its files."""
         readers = {
             "email": lambda: [sqlite.read_mails(self.spark, a).select(F.concat(F.lit("email://"), "message_id").alias("source_path")) for a in sqlite.mail_accounts(os.path.expanduser(self.config.mail_path))],
-            "rss": lambda: [sqlite.read_table(self.spark, os.path.join(a, "DB.sqlite3"), "articles").select(F.concat(F.lit("rss://"), F.col("articleID").cast("string")).alias("source_path")) for a in sqlite.feed_accounts(os.path.expanduser(self.config.feed_path))],
-            "calibre": lambda: [sqlite.read_table(self.spark, os.path.join(os.path.expanduser(b), "metadata.db"), "books").select(F.concat(F.lit(f"calibre://{os.path.expanduser(b)}/"), "path").alias("source_path")) for b in self.config.book_libraries],
+            "rss": lambda: [sqlite.read_table(self.spark, os.path.join(a, "DB.sqlite3"), "articles", columns=["articleID"]).select(F.concat(F.lit("rss://"), F.col("articleID").cast("string")).alias("source_path")) for a in sqlite.feed_accounts(os.path.expanduser(self.config.feed_path))],
+            "calibre": lambda: [sqlite.read_table(self.spark, os.path.join(os.path.expanduser(b), "metadata.db"), "books", columns=["path"]).select(F.concat(F.lit(f"calibre://{os.path.expanduser(b)}/"), "path").alias("source_path")) for b in self.config.book_libraries],
         }
         if name not in readers:
             return self.prune_files(name)
         try:
             parts = readers[name]()
-        except Exception:
-            return {"checked": 0, "pruned": 0}
+        except Exception as e:  # an unreadable source prunes nothing, and says why
+            return {"checked": 0, "pruned": 0, "message": str(e)[:300]}
         current = None
         for p in parts:
             current = p if current is None else current.unionByName(p)
@@ -328,7 +380,8 @@ class Engine:
         out = {"checked": 0, "pruned": 0}
         for row in self.store().collections.select("collection_name").collect():
             if self.config.enabled(row["collection_name"]):
-                out = {k: v + out[k] for k, v in self.prune(row["collection_name"]).items()}
+                got = self.prune(row["collection_name"])
+                out |= {k: got[k] + out[k] for k in ("checked", "pruned")}
         return out
 
     def collection_paths(self, name: str) -> list[str] | None:
@@ -337,12 +390,14 @@ class Engine:
             raise KeyError(name)
         return json.loads(row["paths"]) if row["paths"] else None
 
+    @_retried
     def set_collection_paths(self, name: str, roots: list[str] | None) -> None:
         self.collection_paths(name)
         s = self.store()
         shown = F.lit(json.dumps(roots) if roots is not None else None).cast("string")
         self.commit(replace(s, collections=s.collections.withColumn("paths", F.when(F.col("collection_name") == name, shown).otherwise(F.col("paths")))))
 
+    @_retried
     def rewrite_paths(self, name: str, old: str, new: str) -> int:
         s = self.store()
         coll = s.collections.where(F.col("collection_name") == name).first()
@@ -354,10 +409,11 @@ class Engine:
             self.commit(replace(s, sources=catalog.rewrite_paths(s.sources, old, new, mine)))
         return n
 
-    def export(self, name: str) -> list[dict]:
-        return [json.loads(r.source) for r in catalog.export_collection(self.store(), name).orderBy("id").collect()]
+    def export(self, name: str) -> DataFrame:
+        """(id, source): one JSON object per source, to be written where it is wanted."""
+        return catalog.export_collection(self.store(), name)
 
-    def index_all(self, force: bool = False) -> dict[str, dict]:
+    def index_all(self, force: bool = False, prune: bool = True, history: bool = False) -> dict[str, dict]:
         """Every configured source after a prune of its files; one that fails is reported, the rest goes on."""
         c, jobs = self.config, {}
         if c.vaults:
@@ -368,19 +424,32 @@ class Engine:
             jobs["rss"] = lambda: self.index_feeds(force=force)
         if c.book_libraries:
             jobs["calibre"] = lambda: self.index_books(force=force)
-        jobs |= {n: lambda n=n: self.index_code(n, c.repositories[n], force=force) for n in sorted(c.repositories)}
+        jobs |= {n: lambda n=n: self.index_code(n, c.repositories[n], history, force=force) for n in sorted(c.repositories)}
         jobs |= {n: lambda n=n: self.index_files(n, c.projects[n], "project", force) for n in sorted(c.projects)}
         out = {}
         for name, job in jobs.items():
             if not c.enabled(name):
                 continue
             try:
-                if name in ("obsidian", *c.repositories, *c.projects):
+                if prune and name in ("obsidian", *c.repositories, *c.projects):
                     self.prune(name)
                 out[name] = job()
             except Exception as e:
                 out[name] = {"indexed": 0, "skipped": 0, "errors": 1, "total_found": 0, "message": str(e)[:300]}
+            self.progress(name, out[name])
         return out
 
+    def reindex_every(self, stop: Callable[[], bool], sleep: Callable[[float], None] = time.sleep) -> int:
+        """``index_all`` at the configured interval until ``stop`` says so; at once if none is configured.
+        Returns the number of runs."""
+        runs = 0
+        while True:
+            self.index_all()
+            runs += 1
+            if stop() or not self.config.reindex_interval_minutes:
+                return runs
+            sleep(60.0 * self.config.reindex_interval_minutes)
+
+    @_retried
     def delete_collection(self, name: str) -> None:
         self.commit(catalog.delete_collection(self.store(), name))

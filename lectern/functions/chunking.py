@@ -24,14 +24,16 @@ def guard(size: int, overlap: int) -> tuple[int, int]:
     return size, overlap if 0 <= overlap < size else 0
 
 
-def windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of word windows of a text; none for a blank text."""
-    size, overlap = guard(size, overlap)
+def windows(text: Column, size: int | Column, overlap: int | Column) -> Column:
+    """Array of word windows of a text; none for a blank text. The size may differ from row to row, then it must
+    be above 0 and the overlap below it."""
+    if isinstance(size, int):
+        size, overlap = guard(size, overlap)
     step = size - overlap
 
     def split(w: Column) -> Column:
         last = F.greatest(F.ceil((F.size(w) - overlap) / step).cast("int") - 1, F.lit(0))
-        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size if isinstance(size, Column) else F.lit(size)), " "))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(text)).otherwise(cut)
 
     return F.transform(F.array(words(text)), split)[0]
@@ -54,11 +56,13 @@ def commit_header(repo: Column, path: Column, sha: Column, date: Column) -> Colu
 
 
 def commit_chunks(header: Column, subject: Column, diff: Column, size: int, overlap: int) -> Column:
-    """Subject and diff under the header; over the size, windows of max(50, size - words of the header)."""
+    """Subject and diff under the header; over the size less the words of the header, windows of as many words,
+    50 at least."""
     body = F.concat(subject, F.lit("\n\n"), diff)
-    # the header's length varies little: 8 words bound it, so windows never exceed the size
-    room = max(50, size - 8)
-    cut = F.when(F.size(words(body)) <= size - 8, F.array(body)).otherwise(windows(body, room, overlap))
+    left = F.lit(max(1, size)) - F.size(words(header))
+    room = F.greatest(F.lit(50), left)
+    lap = F.when(F.lit(max(0, overlap)) < room, F.lit(max(0, overlap))).otherwise(F.lit(0))
+    cut = F.when(F.size(words(body)) <= left, F.array(body)).otherwise(windows(body, room, lap))
     return F.transform(cut, lambda x: F.concat(header, F.lit("\n"), x))
 
 

@@ -27,8 +27,17 @@ HEADS = {
     "ruby": re.compile(r"^(def|class|module)\s+([\w.:?!]+)", re.M),
     "bash": re.compile(r"^(?:function\s+(\w[\w-]*)|(\w[\w-]*)\s*\(\))\s*(?:\(\))?\s*\{", re.M),
 }
+MEMBERS = {
+    "javascript": re.compile(r"\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?([\w$#]+)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::[^{};=]+)?\{"),
+    "java": re.compile(r"\s*(?:[\w@<>\[\],.?]+\s+)*(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+|where\s[^{;]+|:\s*\w+\([^{;]*\)\s*)?(?:\{|=>)"),
+    "rust": re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|default)\s+)*fn\s+(\w+)"),
+    "c": re.compile(r"\s*(?:[\w*&:<>,~]+\s+)*[*&]*(~?\w+)\s*\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?\{"),
+    "ruby": re.compile(r"\s+def\s+([\w.:?!]+)"),
+}
+NO_MEMBERS = frozenset("if for while switch catch return else do try synchronized using lock foreach match loop new unless until".split())
 FAMILY = {"typescript": "javascript", "tsx": "javascript", "cpp": "c", "csharp": "java"}
 KINDS = {"func": "function", "fn": "function", "def": "function", "mod": "module", "record": "class", "union": "struct", "const": "function", "let": "function", "var": "function"}
+CONTAINERS = frozenset(("class", "interface", "impl", "trait", "module", "struct", "enum"))
 BLOCK = "array<struct<text string, symbol string, symbol_type string, symbol_path string, start_line int, end_line int>>"
 
 
@@ -114,7 +123,7 @@ def _python_spans(body) -> list[tuple]:
 def _brace_end(lines: list[str], start: int) -> int:
     depth, seen = 0, False
     for i in range(start - 1, len(lines)):
-        bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*|#.*", "", lines[i])
+        bare = _bare(lines[i])
         depth += bare.count("{") - bare.count("}")
         seen = seen or "{" in bare
         if seen and depth <= 0:
@@ -124,6 +133,36 @@ def _brace_end(lines: list[str], start: int) -> int:
     return len(lines)
 
 
+def _members(lines: list[str], start: int, end: int, family: str) -> list[tuple]:
+    """The functions one level below a definition; their heads may go over some lines."""
+    out: list[tuple] = []
+    if family not in MEMBERS:
+        return out
+    depth, i = 0, start
+    while i <= end:
+        inside = depth == 1 if family != "ruby" else start < i
+        m = MEMBERS[family].match("\n".join(lines[i - 1 : i + 5])) if inside and lines[i - 1].strip() else None
+        if m and m.group(1) not in NO_MEMBERS and not re.match(r"\s*(?:return|throw|new|await|yield)\b", lines[i - 1]):
+            last = min(_ruby_end(lines, i) if family == "ruby" else _brace_end(lines, i), end)
+            out.append((i, last, m.group(1), "function", []))
+            i = last + 1
+            continue
+        bare = _bare(lines[i - 1])
+        depth += bare.count("{") - bare.count("}")
+        i += 1
+    return out
+
+
+def _bare(line: str) -> str:
+    """The line without strings and comments."""
+    return re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*|#.*", "", line)
+
+
+def _ruby_end(lines: list[str], start: int) -> int:
+    indent = len(lines[start - 1]) - len(lines[start - 1].lstrip())
+    return next((i + 1 for i in range(start, len(lines)) if lines[i].rstrip() == " " * indent + "end"), len(lines))
+
+
 def _scanned_spans(text: str, lines: list[str], family: str) -> list[tuple]:
     out, last = [], 0
     for m in HEADS[family].finditer(text):
@@ -137,12 +176,8 @@ def _scanned_spans(text: str, lines: list[str], family: str) -> list[tuple]:
             name, kind = got[0], "function"
         else:
             kind, name = KINDS.get(got[0], got[0]), got[-1]
-        if family == "ruby":
-            indent = len(lines[start - 1]) - len(lines[start - 1].lstrip())
-            end = next((i + 1 for i in range(start, len(lines)) if lines[i].rstrip() == " " * indent + "end"), len(lines))
-        else:
-            end = _brace_end(lines, start)
-        out.append((start, end, name, kind, []))
+        end = _ruby_end(lines, start) if family == "ruby" else _brace_end(lines, start)
+        out.append((start, end, name, kind, _members(lines, start, end, family) if kind in CONTAINERS else []))
         last = end
     return out
 

@@ -63,8 +63,3 @@ def books(books: DataFrame, links: dict[str, DataFrame], identifiers: DataFrame,
         got = last.groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name))
         out = out.join(got.withColumnRenamed("book", "id"), "id", "left")
     return out.join(comments.select(F.col("book").alias("id"), F.col("text").alias("description")), "id", "left")
-
-
-def best_format(formats, existing: DataFrame | None = None):
-    """EPUB before PDF."""
-    return F.coalesce(formats["EPUB"], formats["PDF"])

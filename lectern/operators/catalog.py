@@ -9,12 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.vector import sign_bits
 from lectern.session import with_fields
 
 
@@ -64,17 +63,14 @@ def watermark(store: Store, collection_id: int | None = None) -> DataFrame:
 
 def vector_parity(vectors: DataFrame, bits: DataFrame, dim: int = 64) -> DataFrame:
     """(vec_rowid, state): bits that are missing or differ from the vector's signs."""
-    from lectern.operators.vector import signature
+    mine = vectors.select("vec_rowid", sign_bits("embedding", dim).alias("want")).where("want is not null")
+    both = mine.join(bits.select("vec_rowid", F.col("embedding").alias("have")), "vec_rowid", "left")
+    return both.select("vec_rowid", F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("want"), "stale").alias("state")).where("state is not null")
 
-    @F.pandas_udf("array<bigint>")
-    def unpack(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 8 * 8], "<i8").tolist())
 
-    clean = vectors.select("vec_rowid", F.transform("embedding", lambda x: F.when(~F.isnan(x), x).otherwise(F.lit(0.0))).alias("v"))
-    mine = clean.select("vec_rowid", F.array(*signature("v", dim)).alias("want")).where("want[0] is not null")
-    theirs = bits.select("vec_rowid", unpack("embedding").alias("have"))
-    both = mine.join(theirs, "vec_rowid", "left")
-    return both.select("vec_rowid", F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("want"), "stale").alias("state")).where("state is not null")
+def backfill_bits(vectors: DataFrame, dim: int = 64) -> DataFrame:
+    """The bits of all vectors of that length, made anew."""
+    return vectors.select("vec_rowid", "document_id", sign_bits("embedding", dim).alias("embedding")).where("embedding is not null")
 
 
 def delete_sources(store: Store, gone: DataFrame) -> Store:
@@ -132,8 +128,7 @@ def upsert_sources(sources: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def result_merge(results: DataFrame) -> DataFrame:
-    """Sum of index results; at most ten messages are kept."""
-    return results.agg(
-        *[F.sum(c).alias(c) for c in ("indexed", "skipped", "errors", "total_found")],
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("messages", 1, 10)))), 1, 10).alias("messages"),
-    )
+    """Sum of index results; the ten least messages are kept, so no task ever holds more than ten a partition."""
+    total = results.agg(*[F.sum(c).alias(c) for c in ("indexed", "skipped", "errors", "total_found")]).withColumn("k", F.lit(1))
+    first = results.select(F.explode("messages").alias("m")).orderBy("m").limit(10).agg(F.array_sort(F.collect_list("m")).alias("messages")).withColumn("k", F.lit(1))
+    return total.join(first, "k").drop("k")

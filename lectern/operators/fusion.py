@@ -32,8 +32,8 @@ def hydrate(hits: DataFrame, documents: DataFrame, sources: DataFrame, collectio
 class HybridSearch:
     """Both branches, filters after each pool and before ranks are given, fusion, cut, hydration."""
 
-    def __init__(self, documents: DataFrame, vectors: DataFrame, sources: DataFrame, collections: DataFrame, rrf_k: int = 60, vector_weight: float = 0.7, text_weight: float = 0.3):
-        self.documents, self.sources, self.collections = documents, sources, collections
+    def __init__(self, documents: DataFrame, vectors: DataFrame, sources: DataFrame, collections: DataFrame, bits: DataFrame, rrf_k: int = 60, vector_weight: float = 0.7, text_weight: float = 0.3):
+        self.documents, self.sources, self.collections, self.bits = documents, sources, collections, bits
         self.vectors = vectors.select("vec_rowid", F.col("document_id").alias("doc_id"), "embedding")
         self.rrf = (rrf_k, vector_weight, text_weight)
 
@@ -44,7 +44,7 @@ class HybridSearch:
         return hydrate(rows, slim, self.sources, self.collections).where(filters.predicate()).select(*rows.columns)
 
     def vector_branch(self, query: list[float], top_k: int, filters: SearchFilters) -> DataFrame:
-        pool = vector.two_phase(self.vectors, query, top_k, "vec_rowid", filters.any()).select("vec_rowid", "doc_id", "distance")
+        pool = vector.two_phase(self.bits.select("vec_rowid", "embedding"), self.vectors, query, top_k, "vec_rowid", filters.any()).select("vec_rowid", "doc_id", "distance")
         return ranked(self._passing(pool, filters), "distance", "doc_id", "vec_rowid").where(F.col("pos") <= top_k)
 
     def text_branch(self, text: str, top_k: int, filters: SearchFilters) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lectern.operators import assemble, catalog, ingest
@@ -25,13 +27,17 @@ def collection_stats(spark, sf):
 
 @register(
     "collection_info",
-    """SELECT count(*) AS sources, (SELECT count(*) FROM documents WHERE collection_id = 3) AS chunks, strftime(max(last_indexed_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_indexed FROM sources WHERE collection_id = 3""",
+    """SELECT c.collection_name, (SELECT count(*) FROM sources WHERE collection_id = c.id) AS sources, (SELECT count(*) FROM documents WHERE collection_id = c.id) AS chunks,
+       strftime((SELECT max(last_indexed_at) FROM sources WHERE collection_id = c.id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_indexed,
+       (SELECT string_agg(source_type || '=' || n, '; ' ORDER BY source_type) FROM (SELECT source_type, count(*) AS n FROM sources WHERE collection_id = c.id GROUP BY source_type)) AS kinds
+       FROM collections c WHERE c.id = 3""",
 )
 def collection_info(spark, sf):
     s = store(spark, sf)
-    a = s.sources.where("collection_id = 3").agg(F.count("*").alias("sources"), F.date_format(F.max("last_indexed_at"), "yyyy-MM-dd HH:mm:ss").alias("last_indexed")).withColumn("k", F.lit(1))
-    b = s.documents.where("collection_id = 3").agg(F.count("*").alias("chunks")).withColumn("k", F.lit(1))
-    return a.join(b, "k").drop("k")
+    one = s.collections.where("id = 3").select("collection_name")
+    stats = catalog.collection_stats(s).join(one, "collection_name").select("collection_name", F.col("source_count").alias("sources"), F.col("chunk_count").alias("chunks"), F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss").alias("last_indexed"))
+    kinds = catalog.source_type_breakdown(s, 3).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source_type", "n"))), "; ").alias("kinds"))
+    return stats.withColumn("k", F.lit(1)).join(kinds.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 @register("source_type_breakdown", "SELECT source_type, count(*) AS n FROM sources GROUP BY source_type")
@@ -51,8 +57,10 @@ def status_overview(spark, sf):
 
 @register("watermark_max_date", "SELECT event_type, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS watermark FROM events GROUP BY event_type")
 def watermark_max_date(spark, sf):
-    e = table(spark, sf, "events").select("event_type", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))).alias("metadata"))
-    return e.groupBy("event_type").agg(F.max(F.get_json_object("metadata", "$.date")).alias("watermark"))
+    """The operator over documents made of events, a collection for each type."""
+    e = table(spark, sf, "events").select(F.xxhash64("event_type").alias("collection_id"), "event_type", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))).alias("metadata"))
+    marks = catalog.watermark(replace(store(spark, sf), documents=e))
+    return marks.join(e.select("collection_id", "event_type").distinct(), "collection_id").select("event_type", "watermark")
 
 
 @register("incremental_since", "SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') > '2024-01-10T00:00:00Z'")
@@ -61,9 +69,12 @@ def incremental_since(spark, sf):
     return ingest.since_watermark(e, "2024-01-10T00:00:00Z").select("event_id")
 
 
-@register("dedup_natural_key", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+@register("dedup_natural_key", "SELECT DISTINCT user_id, event_type FROM events")
 def dedup_natural_key(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """New natural keys once, by the upsert of sources: users stand for collections, types for paths."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("collection_id"), F.col("event_type").alias("source_path"))
+    none = spark.createDataFrame([], "id long, collection_id long, source_path string")
+    return catalog.upsert_sources(none, e).select(F.col("collection_id").alias("user_id"), F.col("source_path").alias("event_type"))
 
 
 _FILES = "SELECT collection_id, source_path, CASE WHEN file_modified_at > '2020' THEN sha256(source_path) ELSE file_hash END AS file_hash FROM sources WHERE file_hash IS NOT NULL"
@@ -136,11 +147,11 @@ def export_collection(spark, sf):
     return catalog.export_collection(store(spark, sf), "obsidian")
 
 
-@register("index_result_merge", "SELECT sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS indexed, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS skipped, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors, count(*) AS total_found FROM events")
+@register("index_result_merge", "SELECT sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS indexed, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS skipped, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors, count(*) AS total_found, (SELECT string_agg(m, '; ' ORDER BY m) FROM (SELECT event_type || ' ' || lpad(event_id::VARCHAR, 12, '0') AS m FROM events ORDER BY m LIMIT 10)) AS messages FROM events")
 def index_result_merge(spark, sf):
     flag = lambda t: F.when(F.col("event_type") == t, 1).otherwise(0)
-    rows = table(spark, sf, "events").select(flag("click").alias("indexed"), flag("view").alias("skipped"), flag("error").alias("errors"), F.lit(1).alias("total_found"), F.array().cast("array<string>").alias("messages"))
-    return catalog.result_merge(rows).drop("messages")
+    rows = table(spark, sf, "events").select(flag("click").alias("indexed"), flag("view").alias("skipped"), flag("error").alias("errors"), F.lit(1).alias("total_found"), F.array(F.concat_ws(" ", "event_type", F.lpad(F.col("event_id").cast("string"), 12, "0"))).alias("messages"))
+    return catalog.result_merge(rows).withColumn("messages", F.array_join("messages", "; "))
 
 
 @register("mail_first_body_part", "SELECT o_custkey AS id, first(o_orderpriority ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey")
@@ -159,12 +170,22 @@ def mail_recipients_collect(spark, sf):
 @register("book_authors_collect", "SELECT l_orderkey, string_agg(p_brand, '; ' ORDER BY l_linenumber, p_brand) AS authors FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def book_authors_collect(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    got = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_brand")))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(got, lambda x: x["p_brand"]), "; ").alias("authors"))
+    authors = rows.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("pos"), F.col("p_brand").alias("value"))
+    got = _books(spark, rows.select(F.col("l_orderkey").alias("id")).distinct(), authors=authors)
+    return got.select(F.col("id").alias("l_orderkey"), F.array_join("authors", "; ").alias("authors"))
 
 
 @register("book_identifiers_map", "SELECT id, string_agg(k || '=' || v, '; ' ORDER BY k) AS identifiers FROM (SELECT l_orderkey AS id, l_returnflag AS k, max(l_suppkey)::VARCHAR AS v FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY id")
 def book_identifiers_map(spark, sf):
-    last = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_suppkey").cast("string").alias("v"))
-    m = last.groupBy(F.col("l_orderkey").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_returnflag", "v")))).alias("m"))
-    return m.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("identifiers"))
+    l = table(spark, sf, "lineitem")
+    ids = l.select(F.col("l_orderkey").alias("book"), F.col("l_returnflag").alias("key"), F.col("l_suppkey").cast("string").alias("value"), F.col("l_suppkey").alias("pos"))
+    got = _books(spark, l.select(F.col("l_orderkey").alias("id")).distinct(), identifiers=ids)
+    return got.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("identifiers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("identifiers"))
+
+
+def _books(spark, ids, authors=None, identifiers=None):
+    """The operator with what a query has, the other tables being empty."""
+    none = spark.createDataFrame([], "book long, pos long, value string")
+    pairs = spark.createDataFrame([], "book long, key string, value string, pos long")
+    links = {name: none for name in ("authors", "tags", "languages", "series", "publisher", "rating")} | ({"authors": authors} if authors is not None else {})
+    return assemble.books(ids, links, identifiers if identifiers is not None else pairs, spark.createDataFrame([], "book long, text string"), pairs)

@@ -22,9 +22,17 @@ def frontmatter_yaml(spark, sf):
     return table(spark, sf, "documents").select("doc_id", parse_markdown_udf("content", "title").alias("note")).select("doc_id", "note.title", "note.tags", "note.links")
 
 
-@register("chunk_code_ast")
+_CODE = ["import os", "", "", "def first(a):", "    return a", "", "", "class Box:", "    size = 1", "", "    def open(self):", "        return self.size", "", "", "def second(b):", "    return b * 2"]
+
+
+@register(
+    "chunk_code_ast",
+    """SELECT * FROM (VALUES ('first', 'function', 4, 5), ('Box', 'class', 8, 12), ('second', 'function', 15, 16)) t(symbol, symbol_type, start_line, end_line)""",
+)
 def chunk_code_ast(spark, sf):
-    return table(spark, sf, "documents").where("source like 'repo-%'").select("doc_id", F.inline(code_blocks_udf(100, 20)("content", F.lit("python"))))
+    """Python text with three definitions, whose lines are written out."""
+    rows = spark.createDataFrame([("\n".join(_CODE),)], "content string")
+    return rows.select(F.inline(code_blocks_udf(8, 2)("content", F.lit("python")))).where("symbol <> ''").select("symbol", "symbol_type", "start_line", "end_line")
 
 
 @register("embed_hash")
@@ -37,7 +45,7 @@ def events_windowed(spark, sf):
     return windowed_counts(table(spark, sf, "events"), "ts", "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@register("stream_incremental_ingest")
+@register("stream_incremental_ingest", "SELECT * FROM events")
 def stream_incremental_ingest(spark, sf):
     """The events through a file stream twice; the second run adds nothing."""
     path = new_shared_path(spark, "stream")

@@ -142,21 +142,27 @@ def files_hidden(spark, sf):
     return table(spark, sf, "sources").select("id", paths.is_hidden(F.col("source_path")).alias("hidden"))
 
 
+# The oracle's own values, written out here and not taken from the operator's tables.
 _EXT = r"lower(regexp_extract(regexp_extract(source_path, '[^/]*$'), '\.([^.]*)$', 1))"
-_case = lambda d: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items())
+_KINDS = "WHEN 'md' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'dotx' THEN 'docx' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'epub' THEN 'epub'"
+_KINDS += "".join(f" WHEN '{x}' THEN 'plaintext'" for x in ("txt", "csv", "json", "yaml", "yml"))
+_SPOKEN = "WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'cs' THEN 'csharp' WHEN 'rb' THEN 'ruby' WHEN 'md' THEN 'markdown' WHEN 'toml' THEN 'toml' WHEN 'sql' THEN 'sql' WHEN 'css' THEN 'css'"
+_SPOKEN += "".join(f" WHEN '{x}' THEN '{y}'" for y, xs in {"hcl": ("tf", "tfvars", "hcl"), "javascript": ("js", "jsx"), "c": ("c", "h"), "cpp": ("cpp", "cc", "hpp"), "bash": ("sh", "bash"), "yaml": ("yaml", "yml"), "html": ("html", "htm"), "plaintext": ("json", "txt", "csv", "rst", "xml", "scss")}.items() for x in xs)
+_NAMES = "'.DS_Store', '.terraform.lock.hcl', 'go.sum', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'Cargo.lock', 'poetry.lock', 'uv.lock'"
+_DIRS = "'.idea', '.vscode', 'node_modules', '__pycache__', '.mypy_cache', '.pytest_cache', '.tox', 'dist', 'build', '.egg-info', 'vendor', '.terraform', 'cdk.out'"
 
 
-@register("source_type_for_path", f"SELECT id, CASE {_EXT} {_case(paths.SOURCE_TYPES)} ELSE '' END AS kind FROM sources")
+@register("source_type_for_path", f"SELECT id, CASE {_EXT} {_KINDS} ELSE '' END AS kind FROM sources")
 def source_type_for_path(spark, sf):
     return table(spark, sf, "sources").select("id", paths.source_type(F.col("source_path")).alias("kind"))
 
 
-@register("code_language_for_path", f"SELECT id, CASE {_EXT} {_case(paths.LANGUAGES)} ELSE '' END AS lang FROM sources")
+@register("code_language_for_path", f"SELECT id, CASE {_EXT} {_SPOKEN} ELSE '' END AS lang FROM sources")
 def code_language_for_path(spark, sf):
     return table(spark, sf, "sources").select("id", paths.code_language(F.col("source_path")).alias("lang"))
 
 
-@register("should_exclude_path", "SELECT id, regexp_extract(source_path, '[^/]*$') IN ({}) OR list_has_any(string_split(source_path, '/'), [{}]) AS excluded FROM sources".format(", ".join(f"'{x}'" for x in paths.EXCLUDED_NAMES), ", ".join(f"'{x}'" for x in paths.EXCLUDED_DIRS)))
+@register("should_exclude_path", f"SELECT id, regexp_extract(source_path, '[^/]*$') IN ({_NAMES}) OR list_has_any(string_split(source_path, '/'), [{_DIRS}]) AS excluded FROM sources")
 def should_exclude_path(spark, sf):
     return table(spark, sf, "sources").select("id", paths.is_excluded(F.col("source_path")).alias("excluded"))
 

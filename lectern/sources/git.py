@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -91,8 +92,8 @@ def read_files(files: DataFrame, repo: str) -> DataFrame:
 def commits(spark: SparkSession, repo: str, since: str | None = None, months: int = 12) -> DataFrame:
     """(sha, author_name, author_email, author_date, subject), oldest first, merges left out."""
     span = [f"{since}..HEAD"] if since and changed_since(repo, since) is not None else [f"--since={months} months ago"]
-    out = git(repo, "log", "--no-merges", "--reverse", "--pretty=format:%H|%an|%ae|%aI|%s", *span)
-    rows = [tuple(line.split("|", 4)) for line in out.split("\n") if line.count("|") >= 4]
+    out = git(repo, "log", "--no-merges", "--reverse", "--pretty=format:%H%x00%an%x00%ae%x00%aI%x00%s", *span)
+    rows = [tuple(line.split("\0")) for line in out.split("\n") if line.count("\0") == 4]
     return spark.createDataFrame(rows, "sha string, author_name string, author_email string, author_date string, subject string")
 
 
@@ -104,18 +105,20 @@ def not_blacklisted(rows: DataFrame, starts: list[str]) -> DataFrame:
 
 
 def file_changes(rows: DataFrame, repo: str) -> DataFrame:
-    """One row per text file of each commit with its counts and diff; git runs in the tasks."""
+    """One row per text file of each commit with its counts and diff; git runs twice a commit, in the tasks."""
     schema = with_fields(rows.schema, path=T.StringType(), additions=T.IntegerType(), deletions=T.IntegerType(), diff=T.StringType())
 
     def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                for line in git(repo, "show", "--numstat", "--format=", r.sha).split("\n"):
-                    plus, _, rest = line.partition("\t")
-                    minus, _, path = rest.partition("\t")
-                    if path and plus != "-":
-                        out.append((*r, path, int(plus), int(minus), git(repo, "show", r.sha, "--", path)))
+                counts = [line.split("\t", 2) for line in git(repo, "show", "--numstat", "--format=", r.sha).split("\n") if line.count("\t") >= 2]
+                top, *parts = re.split(r"(?m)^(?=diff --git )", git(repo, "show", r.sha))
+                for k, (plus, minus, path) in enumerate(counts):
+                    if plus != "-":
+                        # one diff a file in the order of the counts, as a rule
+                        diff = top + parts[k].rstrip("\n") + "\n" if len(parts) == len(counts) else git(repo, "show", r.sha, "--", path)
+                        out.append((*r, path, int(plus), int(minus), diff))
             yield pd.DataFrame(out, columns=schema.names)
 
     return rows.mapInPandas(show, schema)

@@ -1,12 +1,15 @@
 """SQLite tables through Python's data source API: ``spark.read.format("sqlite")``.
 
-Options: ``path``, ``table``, and ``partitions`` (ranges of rowid, read in parallel).
+Options: ``path``, ``table``, ``partitions`` (ranges of rowid, read in parallel),
+``columns`` (a JSON list: no others are read) and ``where`` (SQL that the file's engine
+evaluates, so rows that don't pass never reach Spark).
 The file is opened read-only and must be where the tasks run.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import sqlite3
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Fixed value: the general form of a UUID.
 UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 
 
@@ -34,8 +38,8 @@ def _spark_type(declared: str) -> str:
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, parts: int, names: list[str], kinds: list[str]):
-        self.path, self.table, self.parts, self.names, self.kinds = path, table, parts, names, kinds
+    def __init__(self, path: str, table: str, parts: int, names: list[str], kinds: list[str], where: str = ""):
+        self.path, self.table, self.parts, self.names, self.kinds, self.where = path, table, parts, names, kinds, where
 
     def partitions(self):
         with connect(self.path) as con:
@@ -51,7 +55,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         cast = {"bigint": int, "double": float, "string": str, "binary": bytes}
         cols = ", ".join(f'"{n}"' for n in self.names)
-        where, args = ("", ()) if partition.value is None else (" WHERE rowid BETWEEN ? AND ?", partition.value)
+        tests, args = ([], ()) if partition.value is None else (["rowid BETWEEN ? AND ?"], partition.value)
+        tests += [f"({self.where})"] if self.where else []
+        where = f" WHERE {' AND '.join(tests)}" if tests else ""
         con = connect(self.path)
         try:
             for row in con.execute(f'SELECT {cols} FROM "{self.table}"{where}', args):
@@ -77,19 +83,25 @@ class SqliteSource(DataSource):
             got = [(r[1], _spark_type(r[2])) for r in con.execute(f'PRAGMA table_info("{self.options["table"]}")')]
         if not got:
             raise ValueError(f"no table {self.options['table']!r}")
-        return got
+        wanted = json.loads(self.options.get("columns", "null"))
+        if wanted is None:
+            return got
+        kinds = dict(got)
+        if missing := [n for n in wanted if n not in kinds]:
+            raise ValueError(f"no columns {missing} in {self.options['table']!r}")
+        return [(n, kinds[n]) for n in wanted]
 
     def schema(self) -> str:
         return ", ".join(f"`{n}` {k}" for n, k in self._columns())
 
     def reader(self, schema) -> DataSourceReader:
         cols = self._columns()
-        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "8")), [n for n, _ in cols], [k for _, k in cols])
+        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "8")), [n for n, _ in cols], [k for _, k in cols], self.options.get("where", ""))
 
 
-def read_table(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+def read_table(spark: SparkSession, path: str, table: str, partitions: int = 8, columns: list[str] | None = None, where: str = "") -> DataFrame:
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).option("columns", json.dumps(columns)).option("where", where).load()
 
 
 def mail_accounts(base: str) -> list[str]:
@@ -119,7 +131,7 @@ def read_mails(spark: SparkSession, account: str, since_ticks: int = 0) -> DataF
         except Exception:
             return spark.createDataFrame([], schema)
 
-    items = read_table(spark, os.path.join(account, "mail_index.dat"), "MailItems").selectExpr("id", "folder", "date", "subject", "messageId as message_id", "preview")
+    items = read_table(spark, os.path.join(account, "mail_index.dat"), "MailItems", columns=["id", "folder", "date", "subject", "messageId", "preview"], where=f"date > {int(since_ticks)}" if since_ticks else "").selectExpr("id", "folder", "date", "subject", "messageId as message_id", "preview")
     folders = soft("folders.dat", "Folders", "id long, path string, name string", ["id", "path", "name"])
     parts = soft("mail_fti.dat", "LocalMailsIndex3", "id long, part_name string, content string", ["id", "cast(partName as string) as part_name", "content"])
     rows = soft("mail_index.dat", "MailAddresses", "parent_id long, kind long, display_name string, address string, position long", ["parentId as parent_id", "type as kind", "displayName as display_name", "address", "position"])
@@ -186,5 +198,5 @@ def read_books(spark: SparkSession, library: str) -> DataFrame:
     }
     ids = t("identifiers").select("book", F.col("type").alias("key"), F.col("val").alias("value"), F.col("id").alias("pos"))
     formats = t("data").select("book", F.col("format").alias("key"), F.col("name").alias("value"), F.col("id").alias("pos"))
-    books = t("books").select("id", "title", "path", "pubdate", "last_modified", "series_index")
+    books = read_table(spark, db, "books", columns=["id", "title", "path", "pubdate", "last_modified", "series_index"])
     return assemble.books(books, links, ids, t("comments").select("book", "text"), formats)

@@ -117,6 +117,26 @@ def test_code():
     assert {b.symbol for b in code.code_blocks("export function f() {\n}\nclass C {\n}\n", "typescript")} == {"f", "C"}
 
 
+def _class_of(language: str) -> str:
+    head, method, tail = {
+        "typescript": ("export class OrderService {\n  private size = 1;", "  async m{i}(a: number): Promise<number> {{\n    if (a > {i}) {{\n      return a;\n    }}\n    return {i};\n  }}", "}"),
+        "java": ("public class OrderService {\n  private int size = 1;", "  @Override\n  public int m{i}(int a) throws Error {{\n    for (int k = 0; k < a; k++) {{ a += {i}; }}\n    return a;\n  }}", "}"),
+        "csharp": ("class OrderService {\n  int size;", "  public async Task<int> m{i}(int a) {{\n    using (a) {{ a += {i}; }}\n    return a;\n  }}", "}"),
+        "rust": ("impl OrderService {", "    pub fn m{i}(&self, a: i32) -> i32 {{\n        if a > {i} {{ return a; }}\n        a + {i}\n    }}", "}"),
+        "cpp": ("class OrderService {\n public:", "  int m{i}(int a) const {{\n    while (a > {i}) {{ a--; }}\n    return a;\n  }}", "};"),
+        "ruby": ("class OrderService", "  def m{i}(a)\n    a + {i} + 1 + 2 + 3\n  end", "end"),
+    }[language]
+    return "\n".join([head, *(method.format(i=i) for i in range(3)), tail])
+
+
+@pytest.mark.parametrize("language", ["typescript", "java", "csharp", "rust", "cpp", "ruby"])
+def test_methods_of_large_classes_are_blocks(language):
+    src = _class_of(language)
+    parts = code.code_blocks(src, language, 30, 4)
+    assert [(b.symbol, b.symbol_type, b.symbol_path) for b in parts if b.symbol.startswith("m")] == [(f"m{i}", "function", "OrderService") for i in range(3)]
+    assert [b.symbol for b in code.code_blocks(src, language, 500, 50)] == ["OrderService"]
+
+
 def test_paths(spark):
     assert col(spark, ["a/b.md", ".hid/x", "a/.b", "./x", "a.b/c"], paths.is_hidden) == [False, True, True, True, False]
     assert col(spark, ["a.md", "b.PDF", "c.docx", "d.html", "e.HTM", "f.txt", "g.csv", "h.epub", "i.png", "none"], paths.source_type) == ["markdown", "pdf", "docx", "html", "html", "plaintext", "plaintext", "epub", "", ""]

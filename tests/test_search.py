@@ -26,7 +26,7 @@ def test_distances(spark):
 def test_two_phase_orders_by_exact_distance(spark):
     rows = [(10, [1, 1, 0, 0, 0, 0, 0, 0]), (11, [0, 1, 1, 0, 0, 0, 0, 0]), (12, [0, 0, 0, 0, 1, 1, 1, 1]), (13, [-1, -1, -1, 0, 0, 0, 0, 0]), (14, [1.0]), (15, None)]
     df = spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows], "doc_id long, embedding array<float>")
-    got = vector.two_phase(df, [1.0, 1, 0, 0, 0, 0, 0, 0], 3, "doc_id").orderBy("distance", "doc_id").collect()
+    got = vector.two_phase(df.select("doc_id", vector.sign_bits("embedding", 8).alias("embedding")), df, [1.0, 1, 0, 0, 0, 0, 0, 0], 3, "doc_id").orderBy("distance", "doc_id").collect()
     assert got[0].doc_id == 10 and [r.distance for r in got] == sorted(r.distance for r in got) and {r.doc_id for r in got} == {10, 11, 12, 13}
     assert [r.doc_id for r in vector.exact_topk(df, [1.0, 1, 0, 0, 0, 0, 0, 0], 6, "doc_id").collect()][-2:] == [14, 15]
 
@@ -120,6 +120,7 @@ def engine(spark):
         spark.createDataFrame(vecs, "vec_rowid long, document_id long, embedding array<float>"),
         spark.createDataFrame([(1, "markdown", "/a"), (2, "email", "/b")], "id long, source_type string, source_path string"),
         spark.createDataFrame([(1, "notes", "project")], "id long, collection_name string, collection_type string"),
+        spark.createDataFrame(vecs, "vec_rowid long, document_id long, embedding array<float>").withColumn("embedding", vector.sign_bits("embedding", 8)),
     )
 
 
