@@ -104,4 +104,4 @@ def merge_unique(a: Column, b: Column) -> Column:
 def truncate(text: Column, size: int) -> Column:
     """At most the first ``size`` bytes of the UTF-8 text, without a character that would be cut; null stays null."""
     cut = F.substring(text.cast("binary"), 1, int(size))
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "\uFFFD+$", ""))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\uFFFD+$", ""))

@@ -32,7 +32,7 @@ _CODE = ["import os", "", "", "def first(a):", "    return a", "", "", "class Bo
 def chunk_code_ast(spark, sf):
     """Python text with three definitions, whose lines are written out."""
     rows = spark.createDataFrame([("\n".join(_CODE),)], "content string")
-    return rows.select(F.inline(code_blocks_udf(8, 2)("content", F.lit("python")))).where("symbol <> ''").select("symbol", "symbol_type", "start_line", "end_line")
+    return rows.select(F.inline(code_blocks_udf(10, 2)("content", F.lit("python")))).where("symbol_type <> 'module_top'").select("symbol", "symbol_type", "start_line", "end_line")
 
 
 @register("embed_hash")

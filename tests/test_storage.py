@@ -95,7 +95,7 @@ def test_commit_chunks_subtract_the_real_header(spark):
     body = " ".join(f"w{i}" for i in range(200))
     df = spark.createDataFrame([("[r/a.py] [commit: 1234567] [2024-01-02]", "s", body), ("[r/a b.py] [commit: 1234567] [2024-01-02]", "s", body), ("h", "s", "x")], "h string, s string, d string")
     got = [r[0] for r in df.select(chunking.commit_chunks(F.col("h"), F.col("s"), F.col("d"), 60, 10)).collect()]
-    assert [len(c.split()) for c in got[0]] == [60, 60, 60, 57] and [len(c.split()) for c in got[1]][0] == 60 and got[2] == ["h\ns\n\nx"]
+    assert [len(c.split()) for c in got[0]] == [60, 60, 60, 60, 21] and [len(c.split()) for c in got[1]][0] == 60 and got[2] == ["h\ns\n\nx"]
 
 
 def test_git_names_and_diffs(spark, tmp_path):
