@@ -2,7 +2,8 @@
 
 Every change writes the tables it touches beside the old ones and then publishes a new
 version, so a failed index run leaves the store as it was; a change that meets another
-writer's is done again on the other's version. Sign bits are written with the vectors.
+writer's is done again on the other's version. Sign bits are written with the vectors,
+postings with the documents.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from lectern.functions import chunking, dates, paths
 from lectern.functions.code import code_blocks_udf
 from lectern.functions.embedding import Embedder, HashEmbedder, HttpEmbedder, embed, resolve_host
 from lectern.functions.parsers import PdfReader, documents_udf, parse_markdown_udf
-from lectern.operators import catalog, ingest
+from lectern.operators import catalog, fulltext, ingest
 from lectern.operators.filters import SearchFilters
 from lectern.operators.fusion import HybridSearch, score_text, source_uri
 from lectern.session import materialize
@@ -35,7 +36,12 @@ SCHEMAS = {
     "documents": "doc_id long, source_id long, collection_id long, chunk_index int, title string, content string, metadata string, created_at string",
     "vec_documents": "vec_rowid long, document_id long, embedding array<float>",
 }
-BITS = "vec_rowid long, document_id long, embedding binary"
+# Tables that follow from others and are written with them.
+DERIVED = {
+    "vec_documents_bin": "vec_rowid long, document_id long, embedding binary",
+    "postings": "term string, doc_id long, dl int, at array<int>, bucket int",
+    "corpus_stats": "n_docs long, n_tokens long, avg_len double",
+}
 CHUNK_BITS = 24  # of a document's id, for its number within the source
 
 
@@ -70,7 +76,7 @@ class Engine:
     # the store -----------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
         _, folders = self.files.manifest()
-        return self.files.read(folders.get(name), BITS if name == "vec_documents_bin" else SCHEMAS[name])
+        return self.files.read(folders.get(name), DERIVED.get(name) or SCHEMAS[name])
 
     def store(self) -> catalog.Store:
         version, folders = self.files.manifest()
@@ -88,6 +94,10 @@ class Engine:
         if folders.get("vec_documents") != self._base[1].get("vec_documents"):
             vectors = self.files.read(folders["vec_documents"], SCHEMAS["vec_documents"])
             folders["vec_documents_bin"] = self.files.write("vec_documents_bin", catalog.backfill_bits(vectors, self.config.embedding_dimensions))
+        if folders.get("documents") != self._base[1].get("documents"):
+            docs = self.files.read(folders["documents"], SCHEMAS["documents"])
+            folders["postings"] = self.files.write("postings", fulltext.stored_postings(docs, "doc_id", "title", "content"), ("bucket",))
+            folders["corpus_stats"] = self.files.write("corpus_stats", fulltext.corpus_stats(docs, "title", "content"))
         self.files.publish(version + 1, folders)
 
     @_retried
@@ -104,7 +114,7 @@ class Engine:
     # queries -------------------------------------------------------------------
     def search(self, query: str, top_k: int | None = None, filters: SearchFilters | None = None, query_vector: list[float] | None = None) -> DataFrame:
         c = self.config
-        hybrid = HybridSearch(self.table("documents"), self.table("vec_documents"), self.table("sources"), self.table("collections"), self.table("vec_documents_bin"), c.rrf_k, c.vector_weight, c.text_weight)
+        hybrid = HybridSearch(self.table("documents"), self.table("vec_documents"), self.table("sources"), self.table("collections"), self.table("vec_documents_bin"), c.rrf_k, c.vector_weight, c.text_weight, (self.table("postings"), self.table("corpus_stats")))
         return hybrid.search(query, query_vector or self.embedder([query])[0], top_k or c.top_k, filters)
 
     def search_results(self, query: str, **options) -> list[dict]:

