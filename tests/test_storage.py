@@ -136,3 +136,13 @@ def test_ocr_reads_pages_of_few_words_within_the_limits():
 
     assert parse_pdf(b"xx", Reader(), lambda image: "read it")[0] == (1, "read it", True)
     assert parse_pdf(b"x" * 51, Reader(), lambda image: "read it")[0] == (1, "few", False)
+
+
+def test_intermediates_are_deleted(spark):
+    from lectern.session import intermediates, materialize
+
+    with intermediates(spark):
+        kept = materialize(spark.range(3), "t")
+        assert kept.count() == 3
+        path = kept.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
