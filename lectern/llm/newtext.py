@@ -52,6 +52,7 @@ HEADER_FIRST = re.compile(r"^\s*\*?(?:From|Von|De|Da|Date|Datum|Sent|Subject|Bet
 SEPARATOR = re.compile(r"^\s*(?:-{2,}\s*[^\W\d_][^-]*-{2,}|_{10,}|-{10,}|={10,}|Begin forwarded message:|Anfang der weitergeleiteten Nachricht:|Début du message réexpédié :|Début du message transféré :|Inicio del mensaje reenviado:)\s*$")
 QUOTE = re.compile(r"^[ \t]{0,3}(?:[>|»]|[A-ZÄÖÜ]{1,4}>)[>|» \tA-Z]*")
 QUOTED = re.compile(r"^[ \t]{0,3}(?:[>|»]|[A-ZÄÖÜ]{1,4}>)")
+MARK = re.compile(r"[>|»]")
 MARKS = re.compile(r"^[ \t]{0,3}(?:[A-ZÄÖÜ]{0,4}[>|»][ \t]?)+")
 ATTRIBUTION = re.compile(
     r"(?:^\s*(?:On|Am|Le|El|Il|Op|Quoting|Zitat von|En|Citando a)\b.*|.*(?:<[^<>\s]+@[^<>\s]+>|\b(?:wrote|schrieb|écrit|escribió|writes|ha scritto)\b|\d{4}[-./]\d{1,2}[-./]\d{1,2}).*):\s*$", re.I | re.S
@@ -386,7 +387,7 @@ def body_words(lines: list[str]) -> tuple[list[str], list[int]]:
     """The words of a body without its quote marks, and the line of each."""
     words, at = [], []
     for i, line in enumerate(lines):
-        got = WORDS.findall(MARKS.sub("", line))
+        got = WORDS.findall(MARKS.sub("", line) if MARK.search(line, 0, 8) else line)
         words += got
         at += [i] * len(got)
     return words, at
@@ -417,6 +418,13 @@ def inherited_lines(lines: list[str], at: list[int], cover: list[bool]) -> tuple
     return whole, rest
 
 
+def slices(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The frames in pieces, so that lists made of a piece's mails stay small."""
+    for frame in frames:
+        for k in range(0, len(frame), rows):
+            yield frame.iloc[k : k + rows]
+
+
 def gram_hashes(words: list[str], seed: int) -> np.ndarray:
     """Of every ``LONG`` words in a row."""
     if len(words) < LONG:
@@ -478,7 +486,7 @@ def read_threads(bodies: DataFrame, segments_: DataFrame) -> DataFrame:
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, sam = None, SuffixAutomaton()
-        for frame in frames:
+        for frame in slices(frames):
             out = []
             for segment, parts, mail_id, sender, address, same, body, before in frame[["segment", "parts", "mail_id", "sender", "address", "same", "body", "known"]].itertuples(index=False):
                 lines = split_lines(body)
@@ -522,7 +530,7 @@ def new_text(mails: DataFrame) -> DataFrame:
     threads = materialize(read_threads(bodies, mails_read), "mail-threads")
 
     def final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             out = []
             for mail_id, sender, body, gone, rest, known_lines, known_parts in frame[["mail_id", "sender", "body", "old", "rest", "lines", "parts"]].itertuples(index=False):
                 lines = split_lines(body)

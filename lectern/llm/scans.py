@@ -377,9 +377,16 @@ def _around(at: np.ndarray, code: np.ndarray, page: np.ndarray, signs: np.ndarra
     return x
 
 
+def slices(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The frames in pieces, so that lists made of a piece's texts stay small."""
+    for frame in frames:
+        for k in range(0, len(frame), rows):
+            yield frame.iloc[k : k + rows]
+
+
 def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The best candidate of each occurrence, and whether it is misread; without candidate it is by its shape."""
-    for frame in frames:
+    for frame in slices(frames, 5000):
         right, misread = [], []
         for word, n, x, own, candidates in frame[["word", "n", "x", "own_v", "candidates"]].itertuples(index=False):
             if candidates is None or not len(candidates):
@@ -453,7 +460,7 @@ class Scans:
 
         def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts: dict[str, list[str]] = {}
-            for frame in frames:
+            for frame in slices(frames):
                 rows = []
                 for page_id, source_id, number, text, keys in frame[["page_id", "source_id", "page_number", "text", "known"]].itertuples(index=False):
                     gone = furniture(text, set(keys) if keys is not None else set())
