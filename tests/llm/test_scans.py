@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import scans
@@ -122,3 +124,30 @@ def test_pieces_lead_to_every_key_that_is_alike():
 
 def test_empty_table(spark):
     assert Scans(frame(spark, [])).faults().count() == 0
+
+
+def test_no_join_sends_a_side_to_the_driver(spark, monkeypatch):
+    """Heads are a few MB of Parquet where their probes are GB, so no size is small enough for a broadcast."""
+    written, write = [], scans.materialize
+    monkeypatch.setattr(scans, "materialize", lambda df, name: (written.append(df), write(df, name))[1])
+    got = Scans(frame(spark, [(100 + i, 1, i + 1, t) for i, t in enumerate(book())]))
+    plans = "\n".join(df._jdf.queryExecution().executedPlan().toString() for df in (*written, got.faults(), got.repaired()))
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
+def test_contexts_are_taken_of_few_pages_at_a_time(monkeypatch):
+    texts = ["the brown bear sleeps under old trees"] * 60 + ["the brown dear sleeps under old trees"]
+    words = [t.split() for t in texts]
+    batch = pa.record_batch({
+        "page_id": pa.array(range(len(texts)), pa.int64()), "words": pa.array(words), "kinds": pa.array([[scans.WORD] * len(w) for w in words], pa.list_(pa.int32())),
+        **{c: pa.array([[0] * len(w) for w in words], pa.list_(pa.int32())) for c in ("lines", "cuts", "nexts")},
+    })
+    every = np.full(scans.BLOOM // 8, 255, np.uint8)
+    run = lambda: [b for b in scans.surroundings(iter([batch]), np.ones(scans.SKETCH, "f4"), every, every)]
+    whole = run()
+    monkeypatch.setattr(scans, "PAGES_AT_ONCE", 8)
+    parts = run()
+    assert max(b.num_rows for b in parts) <= 8 * 7 and len(parts) == 9  # eight lists of pages and the sums
+    rows = lambda found, c: sorted(r for b in found for r in zip(*(b.column(k).to_pylist() for k in c)) if r[1] is not None)
+    assert rows(parts, ("page_id", "x", "word")) == rows(whole, ("page_id", "x", "word"))
+    assert rows(parts, ("word", "v")) == rows(whole, ("word", "v"))
